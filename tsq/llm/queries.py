@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tsq.llm import chunks, classifier, decontam, mixing, neardup, quality
+from tsq.llm import chunks, classifier, decontam, mixing, neardup, quality, tokens
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_near_dedup": neardup.op7_near_dedup,
     "op9_chunk_dedup": chunks.op9_chunk_dedup,
+    "op10_token_counts": tokens.op10_token_counts,
 }
 
 ORACLES = {
