@@ -1,11 +1,13 @@
 """Language-model scoring by subword lattice likelihood.
 
 The vocabulary is that of an existing tokenizer file (``vocabulary`` is its path; it is never trained or extended). Its
-piece scores, which are ranks, give the first weights (log weight falls with the logarithm of the rank); expectation
-maximisation over all training words then fits the weights: every segmentation of a word into pieces counts by its
+piece scores, which are ranks, give the first weights (a weight falls with the rank); expectation
+maximisation over all distinct training words then fits the weights: every segmentation of a word into pieces counts by its
 probability. The score of a text is the base-10 logarithm of its marginal probability: per word the forward recursion in
 log space over all segmentations of the word with its leading word mark, plus the end. Characters without a piece take
-their byte pieces.
+their byte pieces. A word seen in training has one more edge, the whole word, weighed by its discounted count; the
+discounts' mass goes to the lattice of pieces, which is fitted on distinct words for that reason, so the sum over all
+words stays one.
 
 The base model is a smoothed word count model. Counts cover all training texts; the ``TOP`` most frequent words (a
 bounded table) are broadcast, every other word is looked up by a join, so no count is left out.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from tsq.llm.common import read_documents, stage_table, text_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1_000_000
 ROUNDS = 3
+DISCOUNT = 0.75
 SMOOTH = 0.05
 TOP = 100_000
 MAX_CACHE = 300_000
@@ -43,29 +47,39 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class Lattice:
-    """Log weights of the pieces, and the recursions over a word's segmentations."""
+    """Log weights of the pieces by role, and the recursions over a word's segmentations.
+
+    A piece's weight depends on whether it opens the word and whether it closes it: the pieces that open a word share
+    one distribution over (piece, closes), the others a second one, so the model sums to one over all words and a
+    word's end is learned with its last piece. Names are the role's digit (2 * later + closes) and the piece.
+    """
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+        self.end = weights[END]
+        self.roles = [{k[1:]: v for k, v in weights.items() if k[0] == r} for r in "0123"]
         self.reach: dict[str, int] = {}
-        for piece in weights:
-            if piece[0] != "<" or not piece.startswith("<0x"):
+        for piece in {*self.roles[0], *self.roles[2]}:
+            if not piece.startswith("<0x"):
                 self.reach[piece[0]] = max(self.reach.get(piece[0], 0), len(piece))
 
     def edges(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """By end position: (start, log weight, piece); a character without a piece is one edge of its bytes."""
-        n, get = len(word), self.weights.get
+        """By end position: (start, log weight, name); a character without a piece is one edge of its bytes."""
+        n = len(word)
         into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
         for i, c in enumerate(word):
             alone = False
-            for j in range(i + 1, min(n, i + self.reach.get(c, 0)) + 1):
+            role = 2 if i else 0
+            weigh, last = self.roles[role], min(n, i + self.reach.get(c, 0))
+            for j in range(i + 1, last + 1):
                 piece = word[i:j]
-                w = get(piece)
+                w = weigh.get(piece)
                 if w is not None:
-                    into[j].append((i, w, piece))
+                    closes = j == n
+                    into[j].append((i, self.roles[role + 1][piece] if closes else w, f"{role + closes}{piece}"))
                     alone = alone or j == i + 1
             if not alone:
-                into[i + 1].append((i, sum(get(f"<0x{b:02X}>", -30.0) for b in c.encode()), c))
+                names = byte_names(c, role, i + 1 == n)
+                into[i + 1].append((i, sum(self.roles[int(x[0])].get(x[1:], -30.0) for x in names), c))
         return into
 
     def forward(self, word: str, into=None) -> list[float]:
@@ -91,21 +105,140 @@ class Lattice:
         n, total = len(word), alpha[-1]
         beta = [-math.inf] * n + [0.0]
         for j in range(n, 0, -1):
-            for i, w, piece in into[j]:
-                here = w + beta[j]
+            after = beta[j]
+            for i, w, name in into[j]:
+                here = w + after
                 p = math.exp(alpha[i] + here - total) * times
-                if piece in self.weights:
-                    into_counts[piece] = into_counts.get(piece, 0.0) + p
-                else:
-                    for b in piece.encode():
-                        name = f"<0x{b:02X}>"
-                        into_counts[name] = into_counts.get(name, 0.0) + p
+                for x in (name,) if len(name) > 1 else byte_names(name, 2 if i else 0, j == n):
+                    into_counts[x] = into_counts.get(x, 0.0) + p
                 old = beta[i]
                 beta[i] = here if old == -math.inf else max(old, here) + math.log1p(math.exp(-abs(old - here)))
 
 
+def byte_names(c: str, role: int, closes: bool) -> list[str]:
+    """The byte pieces of a character in their roles."""
+    raw = c.encode()
+    return [f"{(role if k == 0 else 2) + (closes and k == len(raw) - 1)}<0x{b:02X}>" for k, b in enumerate(raw)]
+
+
+def normalised(raw: dict[str, float], ends: float, texts_tokens: float) -> dict[str, float]:
+    """Logarithms of weights given by name, each of the two distributions summing to one, and the end's share of tokens."""
+    sums = [sum(v for k, v in raw.items() if k[0] in pair) for pair in ("01", "23")]
+    out = {k: math.log(v / sums[k[0] in "23"]) for k, v in raw.items()}
+    share = ends / texts_tokens
+    word = math.log1p(-share)
+    return {k: v + word if k[0] in "01" else v for k, v in out.items()} | {END: math.log(share)}
+
+
+class Batch:
+    """The same recursions for many words at once; words that are long or need byte pieces go to :class:`Lattice`."""
+
+    LONGEST = 40
+    BITS = 20
+
+    def __init__(self, weights: dict[str, float]):
+        self.slow = Lattice(weights)
+        self.pieces = sorted({k[1:] for k in weights if k != END and not k[1:].startswith("<0x")})
+        self.width = max(map(len, self.pieces), default=1)
+        self.log = np.full((4, len(self.pieces) + 1), -np.inf)
+        at = {p: k for k, p in enumerate(self.pieces)}
+        for k, v in weights.items():
+            if k != END and k[1:] in at:
+                self.log[int(k[0]), at[k[1:]]] = v
+        self.keys = np.zeros(len(self.pieces) + 1, dtype=np.uint64)
+        for k, p in enumerate(self.pieces):
+            h = 0
+            for c in p:
+                h = (h * _BASE + _code(ord(c))) & _ALL
+            self.keys[k] = h
+        self.tables = []
+        left = np.arange(len(self.pieces))
+        for turn in range(6):
+            slot = self._slot(self.keys[left], turn)
+            table = np.full(1 << self.BITS, len(self.pieces), dtype=np.int64)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+            if not len(left):
+                break
+
+    def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93 + 2 * turn)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers by hash, the number of pieces where there is none."""
+        none = len(self.pieces)
+        out = np.full(len(h), none)
+        for turn, table in enumerate(self.tables):
+            k = table[self._slot(h, turn)]
+            hit = (k < none) & (self.keys[k] == h)
+            out[hit] = k[hit]
+        return out
+
+    def run(self, words: list[str], counts: np.ndarray | None = None, sums: dict[str, float] | None = None) -> np.ndarray:
+        """Log probabilities; with ``counts`` the expected piece counts are added to ``sums`` by name."""
+        out = np.zeros(len(words))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        total = np.zeros_like(self.log) if counts is not None else None
+        slow = np.flatnonzero(size > self.LONGEST).tolist()
+        for n in np.unique(size[size <= self.LONGEST]).tolist():
+            which = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join([MARK + words[k] for k in which.tolist()]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
+            m = _code(codes.astype(np.uint64))
+            edges, plain = [], np.ones(len(which), dtype=bool)
+            alpha = np.full((n + 1, len(which)), -np.inf)
+            alpha[0] = 0.0
+            for i in range(n):
+                h = np.zeros(len(which), dtype=np.uint64)
+                for j in range(i + 1, min(n, i + self.width) + 1):
+                    h = h * np.uint64(_BASE) + m[:, j - 1]
+                    piece = self.find(h)
+                    w = self.log[(2 if i else 0) + (j == n)][piece]
+                    rows = np.flatnonzero(w > -np.inf)
+                    if j == i + 1:
+                        plain[np.flatnonzero(w == -np.inf)] = False
+                    if len(rows):
+                        edges.append((i, j, rows, piece[rows], w[rows]))
+                        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + w[rows])
+            out[which] = alpha[n]
+            slow += which[~plain].tolist()
+            if counts is None:
+                continue
+            beta = np.full((n + 1, len(which)), -np.inf)
+            beta[n] = 0.0
+            times = np.where(plain, counts[which], 0)
+            for i, j, rows, piece, w in reversed(edges):
+                here = w + beta[j, rows]
+                p = np.exp(alpha[i, rows] + here - np.where(plain[rows], alpha[n, rows], np.inf)) * times[rows]
+                role = (2 if i else 0) + (j == n)
+                total[role] += np.bincount(piece, weights=p, minlength=total.shape[1])
+                beta[i, rows] = np.logaddexp(beta[i, rows], here)
+        for k in slow:
+            if counts is None:
+                out[k] = self.slow.log_prob(words[k])
+            else:
+                self.slow.expect(words[k], float(counts[k]), sums)
+        if counts is not None:
+            for role in range(4):
+                for k in np.flatnonzero(total[role]).tolist():
+                    name = f"{role}{self.pieces[k]}"
+                    sums[name] = sums.get(name, 0.0) + float(total[role, k])
+        return out
+
+
+_BASE = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
+
+
+def _code(c):
+    """A code point's share of a hash, for an int or an array."""
+    if isinstance(c, int):
+        return (c + 1) * 0xD1B54A32D192ED03 & _ALL
+    return (c + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+
+
 def read_pieces(path: str) -> dict[str, float]:
-    """First log weights of the pieces of a vocabulary file, from the ranks that its scores are."""
+    """First weights of the pieces of a vocabulary file by role, from the ranks that its scores are."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -116,11 +249,14 @@ def read_pieces(path: str) -> dict[str, float]:
     for i in range(size):
         if sp.is_control(i) or sp.is_unknown(i):
             continue
+        piece = sp.id_to_piece(i)
         rank = size if sp.is_byte(i) else min(size, max(0.0, -sp.get_score(i)))
-        raw[sp.id_to_piece(i)] = -math.log(rank + 2.7)
-    raw[END] = -math.log(size + 2.7)
-    total = math.log(sum(math.exp(v) for v in raw.values()))
-    return {k: v - total for k, v in raw.items()}
+        opens = piece.startswith(MARK)
+        if MARK in piece[1:]:
+            continue  # white space inside words does not occur
+        for role in ("01" if opens else "23"):
+            raw[role + piece] = 1 / (rank + 2.7)
+    return raw
 
 
 def _held_out(id_col: str, folds: int):
@@ -147,9 +283,9 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_weights(counts: DataFrame, ends: int, first: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
-    """EM over the distinct training words; only sums by piece, whose number is fixed, come to the driver."""
-    weights = first
+def fit_weights(counts: DataFrame, ends: int, tokens: int, first: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
+    """EM over the distinct training words, each once; only sums by piece, whose number is fixed, come to the driver."""
+    weights = normalised(first, ends + 0.5, tokens + 1.0)
     if not ends:
         return weights
     context = counts.sparkSession.sparkContext
@@ -157,16 +293,15 @@ def fit_weights(counts: DataFrame, ends: int, first: dict[str, float], rounds: i
         held = context.broadcast(weights)
 
         def run(batches, held=held):
-            lattice, sums = Lattice(held.value), {}
+            lattice, sums = Batch(held.value), {}
             for batch in batches:
-                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lattice.expect(w.decode("utf-8", "replace"), c, sums)
+                words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+                lattice.run(words, np.ones(len(words)), sums)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["piece", "e"])
 
-        got = counts.select("word", "c").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
-        expected = dict(zip(got["piece"], got["e"], strict=True)) | {END: float(ends)}
-        total = math.log(sum(expected.values()) + SMOOTH * len(first))
-        weights = {k: math.log(expected.get(k, 0.0) + SMOOTH) - total for k in first}
+        got = counts.select("word").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
+        expected = dict(zip(got["piece"], got["e"], strict=True))
+        weights = normalised({k: expected.get(k, 0.0) + SMOOTH for k in first}, ends + 0.5, tokens + 1.0)
     return weights
 
 
@@ -183,76 +318,92 @@ def score_texts(
     ends = docs.select(_held_out(id_col, folds).alias("h")).where(~F.col("h")).count()
     n, v = total + ends, kinds + (1 if ends else 0)
     scale = n + 0.1 * (v + 1)
-    weights = context.broadcast(fit_weights(counts, ends, read_pieces(vocabulary), rounds))
+    share = DISCOUNT * kinds / total if total else 1.0
+    weights = context.broadcast(fit_weights(counts, ends, n, read_pieces(vocabulary), rounds))
     often = counts.orderBy(F.desc("c"), "word").limit(top).toPandas()
-    known = context.broadcast({bytes(w): math.log10((c + 0.1) / scale) for w, c in zip(often["word"], often["c"], strict=True)})
+    known = context.broadcast({bytes(w): int(c) for w, c in zip(often["word"], often["c"], strict=True)})
     least = int(often["c"].min()) if len(often) else 0
     del often
+    one = math.log1p(-((ends + 0.5) / (n + 1.0)))
 
     def run(batches):
-        lattice, base = Lattice(weights.value), known.value
-        end = lattice.weights[END]
+        lattice, base = Batch(weights.value), known.value
+        end = lattice.slow.end
         cache: dict[bytes, float] = {}
 
-        def weight(word: bytes) -> float:
-            if len(cache) >= MAX_CACHE:
-                cache.clear()
-            w = lattice.log_prob(word.decode("utf-8", "replace"))
-            if len(word) <= 48:
-                cache[word] = w
-            return w
-
         for batch in batches:
-            sizes, scores, bases, found, rare, often = [], [], [], [], [], []
-            for t in batch.column(3).cast(pa.binary()).to_pylist():
-                ws = split_words(t)
-                sizes.append(len(ws))
-                lp = list(map(cache.get, ws))
-                if None in lp:
-                    lp = [weight(w) if x is None else x for x, w in zip(lp, ws, strict=True)]
-                scores.append((sum(lp) + end) / LN10)
-                hit = list(map(base.get, ws))
-                if None in hit:
-                    left = Counter([w for w, x in zip(ws, hit, strict=True) if x is None])
-                    hit = [x for x in hit if x is not None]
-                else:
-                    left = {}
-                bases.append(sum(hit))
-                found.append(len(hit))
-                rare.append(list(left))
-                often.append(list(left.values()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(scores, pa.float64()),
-                    pa.array(bases, pa.float64()),
-                    pa.array(found, pa.int64()),
-                    pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(often, pa.list_(pa.int64())),
-                ],
-                names=["row", "doc_id", "held_out", "n_words", "score", "base", "known", "rare", "times"],
-            )
-
-    schema = "row long, doc_id long, held_out boolean, n_words long, score double, base double, known long, rare array<binary>, times array<long>"
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            for at in range(0, len(texts), 256):
+                parts = [Counter(split_words(t)) for t in texts[at : at + 256]]
+                fresh = list({w for p in parts for w in p if w not in cache})
+                if len(cache) + len(fresh) > MAX_CACHE:
+                    cache.clear()
+                    fresh = list({w for p in parts for w in p})
+                cache.update(zip(fresh, lattice.run([w.decode("utf-8", "replace") for w in fresh]).tolist(), strict=True))
+                sizes, scores, bases, found, rare, times, spelled = [], [], [], [], [], [], []
+                for part in parts:
+                    size, score, lb, hit = 0, 0.0, 0.0, 0
+                    r, k, sp = [], [], []
+                    for w, x in part.items():
+                        size += x
+                        c = base.get(w)
+                        if c is None:
+                            r.append(w)
+                            k.append(x)
+                            sp.append(cache[w])
+                        else:
+                            hit += x
+                            lb += x * math.log10((c + 0.1) / scale)
+                            score += x * (one + math.log((c - DISCOUNT) / total + share * math.exp(cache[w] - one)))
+                    sizes.append(size)
+                    scores.append((score + end) / LN10)
+                    bases.append(lb)
+                    found.append(hit)
+                    rare.append(r)
+                    times.append(k)
+                    spelled.append(sp)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[c.slice(at, 256) for c in batch.columns[:3]],
+                        pa.array(sizes, pa.int64()),
+                        pa.array(scores, pa.float64()),
+                        pa.array(bases, pa.float64()),
+                        pa.array(found, pa.int64()),
+                        pa.array(rare, pa.list_(pa.binary())),
+                        pa.array(times, pa.list_(pa.int32())),
+                        pa.array(spelled, pa.list_(pa.float32())),
+                    ],
+                    names=["row", "doc_id", "held_out", "n_words", "score", "base", "known", "rare", "times", "spelled"],
+                )
+
+    schema = "row long, doc_id long, held_out boolean, n_words long, score double, base double, known long, rare array<binary>, times array<int>, spelled array<float>"
     scored = stage_table(own.mapInArrow(run, schema), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    rest = scored.select("row", F.explode(F.arrays_zip("rare", "times", "spelled")).alias("x")).select(
+        "row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"), F.col("x.spelled").cast("double").alias("s")
+    )
     seldom = counts.where(F.col("c") <= least) if least else counts
     c = F.coalesce(F.col("c"), F.lit(0))
+    own_edge = F.greatest(c - DISCOUNT, F.lit(0.0)) / max(total, 1)
+    # log(own + share * exp(s)) without leaving log space where the word has no edge of its own
+    log_word = F.when(c > 0, F.log(own_edge + F.exp(F.col("s") - one) * share)).otherwise(F.col("s") - one + math.log(share)) + one
     looked = (
         rest.join(seldom, "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("k") * F.log10((c + 0.1) / scale)).alias("b"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f"))
+        .agg(
+            F.sum(F.col("k") * F.log10((c + 0.1) / scale)).alias("b"),
+            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f"),
+            F.sum(F.col("k") * log_word / LN10).alias("m"),
+        )
     )
-    end_base = math.log10(((ends if ends else 0) + 0.1) / scale)
-    return scored.drop("rare", "times").join(looked, "row", "left").select(
+    end_base = math.log10((ends + 0.1) / scale)
+    return scored.drop("rare", "times", "spelled").join(looked, "row", "left").select(
         "doc_id",
         "held_out",
         (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("f", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0)) + F.lit(end_base)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"),
     )
 
 

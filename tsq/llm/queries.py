@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tsq.llm import chunks, classifier, decontam, mixing, neardup, quality, tokens
+from tsq.llm import chunks, classifier, decontam, lm, mixing, neardup, quality, tokens
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_quality_score": classifier.op4_quality_score,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_near_dedup": neardup.op7_near_dedup,
     "op9_chunk_dedup": chunks.op9_chunk_dedup,
