@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tsq.llm import chunks, classifier, decontam, lm, mixing, neardup, quality, tokens
+from tsq.llm import chunks, classifier, decontam, lm, mixing, neardup, pii, quality, tokens
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_lm_score": lm.op5_lm_score,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_near_dedup": neardup.op7_near_dedup,
+    "op8_pii_spans": pii.op8_pii_spans,
     "op9_chunk_dedup": chunks.op9_chunk_dedup,
     "op10_token_counts": tokens.op10_token_counts,
 }
