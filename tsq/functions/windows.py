@@ -12,9 +12,29 @@ from pyspark.sql import functions as F
 
 from tsq.model import NAN, nan_max
 
-V, TS, PV, PTS = F.col("v"), F.col("ts"), F.col("pv"), F.col("pts")
-INSIDE = PTS > F.col("lo")
-SECONDS = (TS - F.col("t")) / 1000.0
+def v_() -> Column:
+    return F.col("v")
+
+
+def ts_() -> Column:
+    return F.col("ts")
+
+
+def pv_() -> Column:
+    return F.col("pv")
+
+
+def pts_() -> Column:
+    return F.col("pts")
+
+
+def inside_() -> Column:
+    """Whether the sample before is in the window too."""
+    return F.col("pts") > F.col("lo")
+
+
+def seconds_() -> Column:
+    return (F.col("ts") - F.col("t")) / 1000.0
 
 
 def _first(x="v") -> Column:
@@ -29,7 +49,7 @@ def extrapolated(counter: bool, per_second: bool):
     """Delta over the window, extended towards its edges by at most half a mean gap where the samples stop short."""
     aggs = {"n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": _first(), "v1": _last(), "lo": F.first("lo")}
     if counter:
-        aggs["fall"] = F.sum(F.when(INSIDE & (V < PV), PV).otherwise(0.0))
+        aggs["fall"] = F.sum(F.when(inside_() & (v_() < pv_()), pv_()).otherwise(0.0))
 
     def result(range_ms: int) -> Column:
         c = F.col
@@ -58,10 +78,12 @@ def _one(agg: Column, test: Column | None = None, more: dict | None = None):
 
 
 def _regression():
-    return {"n": F.count(F.lit(1)), "slope": F.regr_slope(V, SECONDS), "icpt": F.regr_intercept(V, SECONDS)}
+    return {"n": F.count(F.lit(1)), "slope": F.regr_slope(v_(), seconds_()), "icpt": F.regr_intercept(v_(), seconds_())}
+
 
+def changed_() -> Column:
+    return inside_() & (v_() != pv_()) & ~(F.isnan(v_()) & F.isnan(pv_()))
 
-_CHANGED = INSIDE & (V != PV) & ~(F.isnan(V) & F.isnan(PV))
 
 #: name -> (aggregates, result(range) expression, filter)
 WINDOW_FUNCTIONS = {
@@ -71,8 +93,8 @@ WINDOW_FUNCTIONS = {
     "irate": lambda: _pair(lambda v, p, s: F.when(v < p, v).otherwise(v - p) / s),
     "idelta": lambda: _pair(lambda v, p, s: v - p),
     "deriv": lambda: (_regression(), lambda _: F.col("slope"), F.col("n") >= 2),
-    "changes": lambda: _one(F.sum(F.when(_CHANGED, 1.0).otherwise(0.0))),
-    "resets": lambda: _one(F.sum(F.when(INSIDE & (V < PV), 1.0).otherwise(0.0))),
+    "changes": lambda: _one(F.sum(F.when(changed_(), 1.0).otherwise(0.0))),
+    "resets": lambda: _one(F.sum(F.when(inside_() & (v_() < pv_()), 1.0).otherwise(0.0))),
     "avg_over_time": lambda: _one(F.avg("v")),
     "min_over_time": lambda: _one(F.min("v")),
     "max_over_time": lambda: _one(nan_max("v")),
@@ -85,7 +107,7 @@ WINDOW_FUNCTIONS = {
     "present_over_time": lambda: _one(F.max(F.lit(1.0))),
     "ts_of_last_over_time": lambda: _one(F.max("ts") / 1000.0),
     "ts_of_first_over_time": lambda: _one(F.min("ts") / 1000.0),
-    "ts_of_min_over_time": lambda: _one(F.min_by("ts", F.struct(F.isnan("v"), "v", -TS)) / 1000.0),
+    "ts_of_min_over_time": lambda: _one(F.min_by("ts", F.struct(F.isnan("v"), "v", -ts_())) / 1000.0),
     "ts_of_max_over_time": lambda: _one(F.max_by("ts", F.struct(~F.isnan("v"), "v", "ts")) / 1000.0),
 }
 

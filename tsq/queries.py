@@ -43,7 +43,7 @@ def register(key: str, text: str, labels: tuple[str, ...], oracle: str | None, a
 
 #: Sample views, the step grid (day steps of January 2024), per-series windows and lookback.
 WITH = f"""
-WITH e AS (SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS shard, epoch_ms(ts) AS ts, value AS v FROM events),
+WITH e AS (SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS shard, epoch_us(ts) // 1000 AS ts, value AS v FROM events),
 g AS (SELECT {START + DAY} + i * {DAY} AS t FROM range(0, 30) r(i)),
 w AS (SELECT event_type, shard, g.t, g.t - {DAY} AS lo, e.ts, e.v,
              lag(e.ts) OVER p AS pts, lag(e.v) OVER p AS pv
