@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -305,6 +306,43 @@ def fit_weights(counts: DataFrame, ends: int, tokens: int, first: dict[str, floa
     return weights
 
 
+def spell(df: DataFrame, weights) -> DataFrame:
+    """Fills ``s``, the lattice's log probability of ``word``, where it is absent; equal words come together after a join
+    or an aggregation by word, and each is worked out once a task."""
+    rest = [c for c in df.columns if c not in ("word", "s")]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    df = df if "s" in kinds else df.withColumn("s", F.lit(None).cast("double"))
+
+    def run(batches):
+        lattice, seen = Batch(weights.value), {}
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            s = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            void = np.flatnonzero(np.isnan(s))
+            need = [words[k] for k in void.tolist()]
+            fresh = list({w for w in need if w not in seen})
+            if len(seen) + len(fresh) > MAX_CACHE:
+                seen, fresh = {}, list(set(need))
+            seen.update(zip(fresh, lattice.run([w.decode("utf-8", "replace") for w in fresh]).tolist(), strict=True))
+            s[void] = [seen[w] for w in need]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], names=["word", "s", *rest])
+
+    schema = ", ".join(["word binary, s double", *[f"{c} {kinds[c]}" for c in rest]])
+    return df.select("word", "s", *rest).mapInArrow(run, schema)
+
+
+def often_edge(counts: DataFrame, top: int) -> int:
+    """The smallest count bound under which at most ``top`` words lie, found on a bounded histogram; 0 if there is none."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect()
+    edge, words = 0, 0
+    for r in sorted(steps, key=lambda r: -r["b"]):
+        words += r["n"]
+        if words > top:
+            break
+        edge = r["c"]
+    return edge
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, top: int = TOP
 ) -> DataFrame:
@@ -320,83 +358,64 @@ def score_texts(
     scale = n + 0.1 * (v + 1)
     share = DISCOUNT * kinds / total if total else 1.0
     weights = context.broadcast(fit_weights(counts, ends, n, read_pieces(vocabulary), rounds))
-    often = counts.orderBy(F.desc("c"), "word").limit(top).toPandas()
-    known = context.broadcast({bytes(w): int(c) for w, c in zip(often["word"], often["c"], strict=True)})
-    least = int(often["c"].min()) if len(often) else 0
-    del often
+    spelled = stage_table(spell(counts, weights), "spelled")
+    edge = often_edge(spelled, top)
+    often = spelled.where(F.col("c") >= edge).orderBy("word").toPandas() if edge else None
     one = math.log1p(-((ends + 0.5) / (n + 1.0)))
+    held: tuple = ({}, np.zeros(1), np.zeros(1))
+    if often is not None:
+        c = often["c"].to_numpy(dtype=float)
+        model = one + np.log((c - DISCOUNT) / total + share * np.exp(often["s"].to_numpy() - one))
+        held = ({bytes(w): k for k, w in enumerate(often["word"])}, np.append(np.log10((c + 0.1) / scale), 0.0), np.append(model, 0.0))
+    known = context.broadcast(held)
+    end = weights.value[END]
+    del often, held
 
     def run(batches):
-        lattice, base = Batch(weights.value), known.value
-        end = lattice.slow.end
-        cache: dict[bytes, float] = {}
-
+        at, base, model = known.value
+        find = at.get
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
-                parts = [Counter(split_words(t)) for t in texts[at : at + 256]]
-                fresh = list({w for p in parts for w in p if w not in cache})
-                if len(cache) + len(fresh) > MAX_CACHE:
-                    cache.clear()
-                    fresh = list({w for p in parts for w in p})
-                cache.update(zip(fresh, lattice.run([w.decode("utf-8", "replace") for w in fresh]).tolist(), strict=True))
-                sizes, scores, bases, found, rare, times, spelled = [], [], [], [], [], [], []
-                for part in parts:
-                    size, score, lb, hit = 0, 0.0, 0.0, 0
-                    r, k, sp = [], [], []
-                    for w, x in part.items():
-                        size += x
-                        c = base.get(w)
-                        if c is None:
-                            r.append(w)
-                            k.append(x)
-                            sp.append(cache[w])
-                        else:
-                            hit += x
-                            lb += x * math.log10((c + 0.1) / scale)
-                            score += x * (one + math.log((c - DISCOUNT) / total + share * math.exp(cache[w] - one)))
-                    sizes.append(size)
-                    scores.append((score + end) / LN10)
-                    bases.append(lb)
-                    found.append(hit)
-                    rare.append(r)
-                    times.append(k)
-                    spelled.append(sp)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[c.slice(at, 256) for c in batch.columns[:3]],
-                        pa.array(sizes, pa.int64()),
-                        pa.array(scores, pa.float64()),
-                        pa.array(bases, pa.float64()),
-                        pa.array(found, pa.int64()),
-                        pa.array(rare, pa.list_(pa.binary())),
-                        pa.array(times, pa.list_(pa.int32())),
-                        pa.array(spelled, pa.list_(pa.float32())),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_words", "score", "base", "known", "rare", "times", "spelled"],
-                )
-
-    schema = "row long, doc_id long, held_out boolean, n_words long, score double, base double, known long, rare array<binary>, times array<int>, spelled array<float>"
+            sizes, scores, bases, found, rare, times = [], [], [], [], [], []
+            for t in batch.column(3).cast(pa.binary()).to_pylist():
+                part = Counter(split_words(t))
+                each = np.fromiter(part.values(), dtype=np.int64, count=len(part))
+                which = np.fromiter(map(find, part, repeat(-1)), dtype=np.int64, count=len(part))
+                hit = which >= 0
+                sizes.append(int(each.sum()))
+                found.append(int(each[hit].sum()))
+                bases.append(float((base[which] * each).sum()))
+                scores.append((float((model[which] * each).sum()) + end) / LN10)
+                rare.append(list(compress(part, (~hit).tolist())))
+                times.append(each[~hit].tolist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3],
+                    pa.array(sizes, pa.int64()),
+                    pa.array(scores, pa.float64()),
+                    pa.array(bases, pa.float64()),
+                    pa.array(found, pa.int64()),
+                    pa.array(rare, pa.list_(pa.binary())),
+                    pa.array(times, pa.list_(pa.int32())),
+                ],
+                names=["row", "doc_id", "held_out", "n_words", "score", "base", "known", "rare", "times"],
+            )
+
+    schema = "row long, doc_id long, held_out boolean, n_words long, score double, base double, known long, rare array<binary>, times array<int>"
     scored = stage_table(own.mapInArrow(run, schema), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("rare", "times", "spelled")).alias("x")).select(
-        "row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"), F.col("x.spelled").cast("double").alias("s")
-    )
-    seldom = counts.where(F.col("c") <= least) if least else counts
+    rest = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    seldom = spelled.where(F.col("c") < edge) if edge else spelled
+    joined = spell(rest.join(seldom, "word", "left").select("word", "c", "s", "row", "k"), weights)
     c = F.coalesce(F.col("c"), F.lit(0))
     own_edge = F.greatest(c - DISCOUNT, F.lit(0.0)) / max(total, 1)
-    # log(own + share * exp(s)) without leaving log space where the word has no edge of its own
+    # without an edge of its own a word stays in log space
     log_word = F.when(c > 0, F.log(own_edge + F.exp(F.col("s") - one) * share)).otherwise(F.col("s") - one + math.log(share)) + one
-    looked = (
-        rest.join(seldom, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("k") * F.log10((c + 0.1) / scale)).alias("b"),
-            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f"),
-            F.sum(F.col("k") * log_word / LN10).alias("m"),
-        )
+    looked = joined.groupBy("row").agg(
+        F.sum(F.col("k") * F.log10((c + 0.1) / scale)).alias("b"),
+        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f"),
+        F.sum(F.col("k") * log_word / LN10).alias("m"),
     )
     end_base = math.log10((ends + 0.1) / scale)
-    return scored.drop("rare", "times", "spelled").join(looked, "row", "left").select(
+    return scored.drop("rare", "times").join(looked, "row", "left").select(
         "doc_id",
         "held_out",
         (F.col("n_words") + 1).alias("n_tokens"),
