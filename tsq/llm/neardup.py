@@ -39,6 +39,7 @@ ROWS = 6
 SMALL = 16
 WIDTH = 4
 TURNS = 2
+JUMP = 6
 MARGIN = 0.17
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -227,22 +228,27 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, label)`` of all linked nodes: the smallest node of its component, by label passing with jumps."""
-    links = stage_table(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    labels = stage_table(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    """``(node, label)`` of all linked nodes: the smallest node of its component.
+
+    Labels pass along links, own one included, so a pass is one join and one aggregation; hubs keep most paths to a few
+    steps, and from ``JUMP`` passes on each label also takes its own label's, which halves longer paths.
+    """
+    ends = links.select("a", "b")
+    both = ends.union(ends.select("b", "a")).union(ends.select("a", "a")).union(ends.select("b", "b")).toDF("a", "b").distinct()
+    links = stage_table(both, "links")
+    labels = stage_table(links.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    turn = 0
     while True:
-        near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = (
-            labels.join(near.withColumnRenamed("a", "node"), "node")
-            .join(jump, "label")
-            .select("node", F.least("near", "far", "label").alias("new"), "label")
-        )
-        step = stage_table(step, "labels")
-        moved = step.where("new <> label").limit(1).count()
+        turn += 1
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
+        step = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("new"), own.alias("old"))
+        step = stage_table(step.select(F.col("a").alias("node"), "new", "old"), "labels")
+        if not step.where("new <> old").limit(1).count():
+            return step.select("node", F.col("new").alias("label"))
         labels = step.select("node", F.col("new").alias("label"))
-        if not moved:
-            return labels
+        if turn >= JUMP:
+            far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            labels = labels.join(far, "label").select("node", F.col("far").alias("label"))
 
 
 def _labelled(df: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -317,10 +323,6 @@ def duplicate_classes(
     best = likely.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = stage_table(verify(best, sets, similarity), "links")
     labels = components(links)
-    more = stage_table(verify(_across(likely.select("a", "b"), labels), sets, similarity), "links")
-    links = links.union(more)
-    labels = components(links)
-
     for turn in range(TURNS):
         known = _labelled(hits.select("key", "band", F.col("node").alias("a")), labels, "a").select("key", "band", F.col("a").alias("node"), F.col("la").alias("label"))
         open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
@@ -331,7 +333,8 @@ def duplicate_classes(
             a = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
             b = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
             # at most SMALL - 1 partners a row
-            pairs = pairs.union(a.join(b, "key").where("la < lb").select("a", "b")).distinct()
+            pairs = pairs.union(a.join(b, "key").where("la < lb").select("a", "b"))
+            pairs = pairs.union(_across(likely.select("a", "b"), labels)).distinct()
         links = links.union(stage_table(verify(estimate(pairs, sigs, similarity - MARGIN).select("a", "b"), sets, similarity), "links"))
         labels = components(links)
 
