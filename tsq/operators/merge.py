@@ -45,7 +45,7 @@ def merge_pair(a: DataFrame, b: DataFrame, buffer_ms: int = 10_000, dynamic: boo
     own = F.when(F.col("_base"), F.col("t"))
     by_time = series.orderBy("t")
     rows = rows.withColumn("_before", F.max(own).over(by_time.rangeBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_after", F.min(own).over(by_time.rangeBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("_after", F.min(own).over(series.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)))
     t, x, y, buf = F.col("t"), F.col("_before"), F.col("_after"), F.col("_buf")
     free = (
         F.when(x.isNull(), t < y - buf)
