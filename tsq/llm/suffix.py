@@ -98,10 +98,10 @@ def repeats_inside(h: np.ndarray, start: np.ndarray, size: np.ndarray, mh: np.nd
     return out
 
 
-def shard_transform(texts: list[bytes], order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def shard_transform(texts: list[bytes], order: list[int], mark: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(transform, suffix starts) of records with an end mark each; marks differ and sort by record number, after all bytes.
 
-    Starts count in the concatenation of all records with their marks; symbol 256 stands for a mark.
+    Starts count in the concatenation of all records with their marks; the symbol ``mark`` stands for a mark.
     """
     length = np.array([len(t) + 1 for t in texts])
     n = int(length.sum())
@@ -109,8 +109,9 @@ def shard_transform(texts: list[bytes], order: list[int]) -> tuple[np.ndarray, n
     ends = np.cumsum(length) - 1
     rank = raw.copy()
     rank[ends] = 256 + np.arange(len(texts))
-    symbol = raw.astype(np.uint16)
-    symbol[ends] = 256
+    kind = np.uint16 if mark > 255 else np.uint8
+    symbol = raw.astype(kind)
+    symbol[ends] = mark
     step = 1
     sa = np.argsort(rank, kind="stable")
     while True:
@@ -128,7 +129,7 @@ def shard_transform(texts: list[bytes], order: list[int]) -> tuple[np.ndarray, n
     first = np.cumsum(length) - length
     before = sa - 1
     is_first = np.isin(sa, first, assume_unique=True)
-    bwt = np.where(is_first, np.uint16(256), symbol[np.maximum(before, 0)]).astype(np.uint16)
+    bwt = np.where(is_first, kind(mark), symbol[np.maximum(before, 0)])
     base = np.concatenate([np.full(k, o) for k, o in zip(length.tolist(), order, strict=True)])
     return bwt, base[sa] + sa - first[np.searchsorted(first, sa, side="right") - 1]
 
@@ -148,7 +149,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, int]], depth: int = LENGTH)
     blocks = 1
     for _ in range(depth):
         place = np.argsort(source, kind="stable")  # rows of each shard in turn, in their own order
-        seen = np.empty(n, dtype=np.uint16)
+        seen = np.empty(n, dtype=symbols.dtype)
         seen[place] = symbols
         order = np.argsort(seen, kind="stable")[: n - m]
         top = seen[order]
@@ -175,10 +176,12 @@ def later_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH, sh
     """
     first = np.zeros(len(texts), dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts[:-1]], out=first[1:])
+    # UTF-8 has no byte 255; bytes that are not UTF-8 take a wider symbol
+    mark = 256 if any(b"\xff" in t for t in texts) else 255
     parts = []
     for s in range(min(shards, len(texts))):
         mine = list(range(s, len(texts), shards))
-        parts.append((*shard_transform([texts[k] for k in mine], [int(first[k]) for k in mine]), len(mine)))
+        parts.append((*shard_transform([texts[k] for k in mine], [int(first[k]) for k in mine], mark), len(mine)))
     starts, block = merge(parts, length)
     count = np.bincount(block)
     many = count[block] > 1
