@@ -145,7 +145,7 @@ def _bloom_slots(nodes: list[bytes], bits: int) -> np.ndarray:
 
 
 def _bloom(nodes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
-    """A bitmap of fixed size that holds all ``nodes``; it is built in parts on the executors and only sifts."""
+    """A packed bitmap of fixed size that holds all ``nodes``; it is built in a few parts on the executors and only sifts."""
 
     def build(batches):
         mine = np.zeros(bits, dtype=bool)
@@ -155,33 +155,25 @@ def _bloom(nodes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
         for k in np.flatnonzero(used.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([used[k].tobytes()], type=pa.binary())], names=["k", "b"])
 
-    def merge(batches):
-        for batch in batches:
-            got: dict[int, np.ndarray] = {}
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(b, dtype=np.uint8)
-                got[k] = got[k] | part if k in got else part
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), type=pa.int64()), pa.array([v.tobytes() for v in got.values()], type=pa.binary())], names=["k", "b"])
-
-    parts = nodes.mapInArrow(build, "k long, b binary").repartition(8, "k").mapInArrow(merge, "k long, b binary")
     out = np.zeros((bits // 8 // 4096, 4096), dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in nodes.coalesce(8).mapInArrow(build, "k long, b binary").toLocalIterator():
         out[row["k"]] |= np.frombuffer(row["b"], dtype=np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+    return out.ravel()
 
 
 def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, items)``: sorted distinct shingles of the texts in ``nodes``. A bitmap spares the others the work."""
     bits = 1 << 25
-    held = own.sparkSession.sparkContext.broadcast(np.packbits(_bloom(nodes, bits)))
+    held = own.sparkSession.sparkContext.broadcast(_bloom(nodes, bits))
 
     def run(batches):
-        mask = np.unpackbits(held.value).astype(bool)
+        mask = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             slots = _bloom_slots(batch.column(0).to_pylist(), bits)
-            batch = batch.filter(pa.array(mask[slots].all(axis=0)))
+            hit = (mask[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(hit.all(axis=0)))
             data, offsets = text_buffer(batch.column(1))
             for i, j, part, at in runs(data, offsets):
                 values, bounds, _ = elements(part, at)
