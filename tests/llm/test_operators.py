@@ -50,6 +50,40 @@ def test_near_duplicates(docs, texts):
     assert got == {d: find(c) for d, c in cls.items()}
 
 
+@pytest.mark.parametrize(("small", "block"), [(16, 512), (2, 8)])
+def test_links_in_large_buckets(spark, monkeypatch, small, block):
+    """Variants of one template: most pairs at 0.74 to 0.79, partners at 0.82, which large buckets hide among the others."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    base, n = [f"w{i}" for i in range(400)], 150
+    rows = []
+    for i in range(2 * n):
+        at = [6 * x for x in rng.sample(range(1, 66), 6)]
+        if i >= n:
+            both = rows[i - n][1][:2]
+            at = both + [x for x in at if x not in both][:4]
+        words = list(base)
+        for k, x in enumerate(at):
+            words[x] = f"shared{i % n}x{k}" if k < 2 else f"own{i}x{k}"
+        rows.append((i, at, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w in (t.split() for _, _, t in rows)]
+    links = {(j, i) for i in range(2 * n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    root = list(range(2 * n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, i in sorted(links):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    assert {(i, i + n) for i in range(n)} <= links and len({find(i) for i in range(2 * n)}) > n // 4
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.duplicate_classes(df).collect()} == {i: find(i) for i in range(2 * n)}
+
+
 def test_signature_agreement_is_weighted_similarity():
     """Two weighted sets agree on coordinates as often as their weighted Jaccard similarity says."""
     values = np.arange(1, 41, dtype=np.uint64) * np.uint64(7919)

@@ -10,12 +10,12 @@ Jaccard similarity. ``BANDS`` bands of ``ROWS`` coordinates are the join keys: a
 below 1e-4.
 
 Every link is verified: candidates pass a signature estimate with a margin of over five standard deviations, then the
-shingle sets themselves. No bucket is expanded into its pairs. Equal texts are one node. Each bucket offers its members
+shingle sets themselves. No large bucket is expanded into rows of pairs. Equal texts are one node. Each bucket offers its members
 one hub; a node is first verified against its best hub, components are labelled, and only pairs across labels go on.
-Buckets that still hold several labels are settled by all their cross-label pairs where they have at most ``SMALL``
-members, and beyond that by prefix order: members are sorted by further coordinates and paired with their neighbours
-across labels, in ``TURNS`` turns. In a large bucket of texts that are alike but mostly below the threshold this finds
-nearly all links, not provably every one; the README has the measured share.
+Buckets that still hold several labels are settled by all their cross-label pairs: as rows where they have at most
+``SMALL`` members, and beyond that inside groups of two blocks of members, which compare the shingle sets and give only
+the links that join labels. The work in such a bucket grows with the square of its members that are outside its
+commonest label, the rows with that square over ``BLOCK``.
 
 Defined results: null and empty texts have no shingles and are classes of their own text (equal texts share a class, so
 all empty ones do); a text of one to four words is one shingle; repeated rows and ids are copies; a class is named by its
@@ -37,8 +37,7 @@ SIMILARITY = 0.8
 BANDS = 36
 ROWS = 6
 SMALL = 16
-WIDTH = 4
-TURNS = 2
+BLOCK = 512
 JUMP = 6
 MARGIN = 0.17
 _U = np.uint64
@@ -253,31 +252,81 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, labels, "a"), labels, "b").where("la <> lb").select("a", "b")
 
 
-def _neighbours(opened: DataFrame, sigs: DataFrame, bands: int, rows: int, turn: int, width: int = WIDTH) -> DataFrame:
-    """Pairs across labels among ``(key, band, node, label)`` that stand close in their bucket's prefix order.
-
-    A bucket is sorted by the signature's further coordinates, read on from a place that depends on band and ``turn``, so
-    that texts which agree longest are neighbours; each is paired with the ``width`` before it. Ranges of the order, not
-    buckets, are dealt to tasks, and the pairs grow with the members, never with their square.
+def _forest(near: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join the labels which ``near`` joins, no more than needed; label ``k`` has the rows from ``start[k]`` on."""
+    linked = np.logical_or.reduceat(np.logical_or.reduceat(near, start, axis=0), start, axis=1)
+    stop = np.append(start[1:], len(near))
+    out, fresh = [], np.ones(len(start), dtype=bool)
+    for root in range(len(start)):
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            x = todo.pop()
+            for y in np.flatnonzero(linked[x] & fresh).tolist():
+                i, j = divmod(int(near[start[x] : stop[x], start[y] : stop[y]].argmax()), int(stop[y] - start[y]))
+                out.append((int(start[x]) + i, int(start[y]) + j))
+                fresh[y] = False
+                todo.append(y)
+    return out
+
+
+def _overlaps(rows: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many items each two of the sorted item sets share, as a matrix."""
+    n = len(rows)
+    owner = np.repeat(np.arange(n), [len(x) for x in rows])
+    _, item, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    use = often[item] > 1
+    owner, item = owner[use], np.unique(item[use], return_inverse=True)[1]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    both = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(item[-1]) + 1 if len(item) else 0, columns):
+        lo, hi = np.searchsorted(item, [first, first + columns])
+        has = np.zeros((n, columns), dtype=np.float32)
+        has[owner[lo:hi], item[lo:hi] - first] = 1
+        both += has @ has.T
+    return both
+
+
+def settle(opened: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that join all labels of a bucket which any pair of its members ``(key, node, label)`` joins.
+
+    Every pair across labels is compared on the shingle sets. A bucket is dealt out in blocks of about ``block`` members
+    and each two blocks are one group, but no two blocks of its commonest label. A group gives fewer links than labels.
     """
-    place = ((F.col("band") + 1 + turn * (bands // 2)) % bands) * rows
-    order = F.concat(F.expr("substring(sig, _p + 1, length(sig))"), F.expr("substring(sig, 1, _p)"))
-    line = opened.join(sigs, "node").withColumn("_p", place.cast("int")).withColumn("order", order)
-    line = line.repartitionByRange("key", "order").sortWithinPartitions("key", "order").select("key", "node", "label")
-
-    def run(batches):
-        tail: list[tuple] = []
-        for batch in batches:
-            a, b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for key, node, label in tail:
-                    if key == row[0] and label != row[2]:
-                        a.append(max(node, row[1]))
-                        b.append(min(node, row[1]))
-                tail = [*tail[-width + 1 :], row]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return line.mapInArrow(run, "a binary, b binary").distinct()
+    sizes = opened.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    parts = most.select(
+        "key",
+        F.col("top.label").alias("top"),
+        F.ceil((F.col("n") - F.col("top.n")) / block).alias("s"),
+        F.ceil(F.col("top.n") / block).alias("d"),
+    )
+    tag, rare = F.xxhash64(F.lit(1), "node"), F.col("label") != F.col("top")
+    dealt = opened.select("key", "node", "label").join(parts, "key")
+    dealt = dealt.withColumn("g", F.when(rare, F.pmod(tag, F.col("s"))).otherwise(F.col("s") + F.pmod(tag, F.col("d"))))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.when(rare, F.col("s") + F.col("d")).otherwise(F.col("s")) - 1)))
+    dealt = dealt.select("key", F.least("g", "x").alias("i"), F.greatest("g", "x").alias("j"), "g", "node", "label")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("label")
+        node, label, g = (group.column(c).to_pylist() for c in ("node", "label", "g"))
+        start = np.array([k for k in range(len(label)) if not k or label[k] != label[k - 1]])
+        pairs = []
+        if len(start) > 1:
+            rows = [np.asarray(x.values) for x in group.column("items")]
+            n = np.array([len(x) for x in rows], dtype=float)
+            both = _overlaps(rows).astype(float)
+            near = both >= similarity * (n[:, None] + n - both) - 1e-9
+            code = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(label))))
+            near &= code[:, None] != code
+            if group.column("i")[0] != group.column("j")[0]:
+                near &= np.array(g)[:, None] != np.array(g)
+            pairs = _forest(near, start)
+        a, b = ([f(node[i], node[j]) for i, j in pairs] for f in (max, min))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def duplicate_classes(
@@ -304,7 +353,7 @@ def duplicate_classes(
     ids = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     texts = stage_table(signed.dropDuplicates(["node"]).select("node", "keys", "sig"), "texts")
     sigs = texts.select("node", "sig")
-    entries = texts.select(tag.alias("tag"), "node", F.posexplode("keys").alias("band", "key"))
+    entries = texts.select(tag.alias("tag"), "node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("key")
     hits = stage_table(entries.join(shared, "key", "left_semi"), "hits")
     hubs = hits.groupBy("key").agg(F.min(F.struct("tag", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
@@ -315,20 +364,17 @@ def duplicate_classes(
     best = likely.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = stage_table(verify(best, sets, similarity), "links")
     labels = components(links)
-    for turn in range(TURNS):
-        known = _labelled(hits.select("key", "band", F.col("node").alias("a")), labels, "a").select("key", "band", F.col("a").alias("node"), F.col("la").alias("label"))
-        open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-        opened = stage_table(known.join(open_keys, "key"), "open")
-        pairs = _neighbours(opened.where(F.col("n") > SMALL), sigs, bands, rows, turn)
-        if not turn:
-            few = opened.where(F.col("n") <= SMALL)
-            a = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            b = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            # at most SMALL - 1 partners a row
-            pairs = pairs.union(a.join(b, "key").where("la < lb").select("a", "b"))
-            pairs = pairs.union(_across(likely.select("a", "b"), labels)).distinct()
-        links = links.union(stage_table(verify(estimate(pairs, sigs, similarity - MARGIN).select("a", "b"), sets, similarity), "links"))
-        labels = components(links)
+    known = _labelled(hits.select("key", F.col("node").alias("a")), labels, "a").select("key", F.col("a").alias("node"), F.col("la").alias("label"))
+    open_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    opened = stage_table(known.join(open_keys, "key"), "open")
+    few = opened.where(F.col("n") <= SMALL)
+    a = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
+    b = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+    # at most SMALL - 1 partners a row
+    pairs = a.join(b, "key").where("la < lb").select("a", "b").union(_across(likely.select("a", "b"), labels)).distinct()
+    more = verify(estimate(pairs, sigs, similarity - MARGIN).select("a", "b"), sets, similarity)
+    wide = settle(opened.where(F.col("n") > SMALL), sets, similarity, BLOCK)
+    labels = components(links.union(stage_table(more.union(wide), "links")))
 
     classes = labels.join(ids.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_rep"))
     by_node = (
