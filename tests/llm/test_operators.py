@@ -50,11 +50,8 @@ def test_near_duplicates(docs, texts):
     assert got == {d: find(c) for d, c in cls.items()}
 
 
-@pytest.mark.parametrize(("small", "block"), [(16, 512), (2, 8)])
-def test_links_in_large_buckets(spark, monkeypatch, small, block):
-    """Variants of one template: most pairs at 0.74 to 0.79, partners at 0.82, which large buckets hide among the others."""
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+def crowded():
+    """(id, text) rows of variants of one template, most pairs at 0.74 to 0.79, partners at 0.82, and their classes."""
     rng = random.Random(4)
     base, n = [f"w{i}" for i in range(400)], 150
     rows = []
@@ -80,8 +77,31 @@ def test_links_in_large_buckets(spark, monkeypatch, small, block):
         x, y = find(i), find(j)
         root[max(x, y)] = min(x, y)
     assert {(i, i + n) for i in range(n)} <= links and len({find(i) for i in range(2 * n)}) > n // 4
-    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in neardup.duplicate_classes(df).collect()} == {i: find(i) for i in range(2 * n)}
+    return [(i, t) for i, _, t in rows], {i: find(i) for i in range(2 * n)}
+
+
+@pytest.mark.parametrize(("small", "block"), [(16, 512), (2, 8)])
+def test_links_in_large_buckets(spark, monkeypatch, small, block):
+    """Variants of one template: most pairs at 0.74 to 0.79, partners at 0.82, which large buckets hide among the others."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rows, want = crowded()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.duplicate_classes(df).collect()} == want
+
+
+@pytest.mark.parametrize("partitions", [1, 23])
+def test_classes_do_not_depend_on_partitions(spark, partitions):
+    rows, want = crowded()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        assert {r["doc_id"]: r["class_id"] for r in neardup.duplicate_classes(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_signature_agreement_is_weighted_similarity():
