@@ -185,6 +185,31 @@ def test_chunk_dedup(spark):
     assert {*slow, len(data)} <= {*cuts.tolist()}
 
 
+def test_chunk_spans_and_kept_text(spark):
+    """Spans add up to the counts, removed bytes occur in an earlier text, and what is kept is the text without them."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdeéß世\U0001f600") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage = [text(60) for _ in range(4)]
+    rows = [(i, text(30) + " " + passage[i % 4] + " " + text(30)) for i in range(16)] + [(16, passage[0]), (17, ""), (18, None)]
+    rows += [(19, rows[2][1]), (19, rows[2][1]), (None, rows[3][1])]
+    got = chunks.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=True).collect()
+    texts = Counter((r["doc_id"], r["n_bytes"]) for r in got)
+    assert texts == Counter((d, len((t or "").encode())) for d, t in rows)
+    by = dict(rows)
+    for r in got:
+        data = (by[r["doc_id"]] or "").encode()
+        before = [(t or "").encode() for d, t in rows if r["doc_id"] is None or (d is not None and d < r["doc_id"])]
+        before += [data] if r["doc_id"] == 19 else []
+        kept, at = b"", 0
+        for a, b in r["removed"]:
+            assert at <= a < b and any(data[a:b] in x for x in before) and any(s <= a and b <= e for s, e in r["repeated"])
+            kept, at = kept + data[at:a], b
+        assert r["kept"].encode() == kept + data[at:]
+        assert r["n_removed"] == sum(b - a for a, b in r["removed"]) == len(data) - len(r["kept"].encode())
+        assert r["n_repeated"] == sum(b - a for a, b in r["repeated"])
+    assert sum(r["n_removed"] > 0 for r in got) >= 14 and [r["kept"] for r in got if r["doc_id"] is None] == [""]
+
+
 def test_token_counts(spark, docs, texts):
     counts = tokens.Counts(open(tokens.VOCABULARY, "rb").read())
     full = lambda t: len(counts.encoding.encode_ordinary(t))

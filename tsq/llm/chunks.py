@@ -8,7 +8,7 @@ bytes, or is the whole text, and so does the stretch of it that earlier occurren
 chance in clean text and are left alone.
 
 Defined results: a null text is empty and has no chunks; rows with a null id come after all ids; repeated ids or rows
-are told apart by their own row number; an empty table gives no rows; other input columns are ignored.
+are told apart by their own row number; a cut inside a character moves back to its start; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,11 +52,17 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, mask_bits: int = MASK_BITS
     if len(wide):
         extra = [np.arange(cuts[k] + max_chunk, cuts[k + 1], max_chunk) for k in wide]
         cuts = np.union1d(cuts, np.concatenate(extra))
-    return cuts
+    # back to the start of a character, so that what is left of a text stays text
+    for _ in range(3):
+        inside = np.append(data, np.uint8(0))[cuts] & 0xC0 == 0x80
+        if not inside.any():
+            break
+        cuts = cuts - inside
+    return np.unique(cuts)
 
 
 def chunks_of(column: pa.Array, mask_bits: int, max_chunk: int):
-    """(document, seq, size, hi, lo) arrays of the chunks of a batch of texts; an empty text gives one of size 0."""
+    """(document, start, size, hi, lo) arrays of the chunks of a batch of texts; an empty text gives one of size 0."""
     data, offsets = text_buffer(column)
     for first, _, part, bounds in runs(data, offsets):
         cuts = cut_points(part, bounds, mask_bits, max_chunk)
@@ -66,36 +72,38 @@ def chunks_of(column: pa.Array, mask_bits: int, max_chunk: int):
         joined = b"".join([digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
         pair = np.frombuffer(joined, dtype=">i8").astype(np.int64).reshape(-1, 2)
         doc = np.searchsorted(bounds, start, side="right") - 1
-        seq = np.arange(len(start)) - np.searchsorted(start, bounds[doc])
-        yield first + doc, seq, end - start, pair[:, 0], pair[:, 1]
+        yield first + doc, start - bounds[doc], end - start, pair[:, 0], pair[:, 1]
         void = np.flatnonzero(np.diff(bounds) == 0)
         if len(void):
             zero = np.zeros(len(void), dtype=np.int64)
             yield first + void, zero, zero, zero, zero
 
 
-TABLE = "row long, doc_id long, seq int, size int, hi long, lo long"
+TABLE = "row long, doc_id long, start int, size int, hi long, lo long"
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, mask_bits: int = MASK_BITS, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """One row per chunk: its row's number, id, place in the row, size and digest."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
+
+
+def chunk_table(own: DataFrame, mask_bits: int = MASK_BITS, max_chunk: int = MAX_CHUNK) -> DataFrame:
+    """One row per chunk of ``(row, doc_id, t)``: its row's number, id, first byte in the row, size and digest."""
 
     def run(batches):
         for batch in batches:
             row, ids = batch.column(0), batch.column(1)
-            for doc, seq, size, hi, lo in chunks_of(batch.column(2), mask_bits, max_chunk):
+            for doc, start, size, hi, lo in chunks_of(batch.column(2), mask_bits, max_chunk):
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(at), ids.take(at), pa.array(seq.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hi), pa.array(lo)],
-                    names=["row", "doc_id", "seq", "size", "hi", "lo"],
+                    [row.take(at), ids.take(at), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hi), pa.array(lo)],
+                    names=["row", "doc_id", "start", "size", "hi", "lo"],
                 )
 
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     return own.mapInArrow(run, TABLE)
 
 
 def repeated_spans(table: DataFrame) -> DataFrame:
-    """Stretches of neighbouring repeated chunks of one kind: ``row, run, later, owned, first_seq, bytes``.
+    """Stretches of neighbouring repeated chunks of one kind: ``row, run, later, owned, start, bytes``.
 
     ``run`` names the maximal run of repeated chunks, ``later`` whether an earlier occurrence owns the stretch.
     """
@@ -103,18 +111,20 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     often = table.where("size > 0").groupBy("lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lo")
     hits = table.where("size > 0").join(often, "lo", "left_semi")
     hits = stage_table(hits, "chunk-hits")
-    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row", "seq")
+    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row", "start")
     owners = hits.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
     marked = hits.join(owners.select("hi", "lo", "first"), ["hi", "lo"]).select(
-        "row", "seq", "size", (F.col("first") < place).alias("later")
+        "row", "start", "size", (F.col("first") < place).alias("later")
     )
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("row").orderBy("seq"))
-    owned = F.col("seq") - F.row_number().over(Window.partitionBy("row", "later").orderBy("seq"))
+    # the bytes up to a chunk's end that are not of its kind stay the same while neighbours follow each other
+    end, until = F.col("start") + F.col("size"), (Window.unboundedPreceding, Window.currentRow)
+    run = end - F.sum("size").over(Window.partitionBy("row").orderBy("start").rowsBetween(*until))
+    owned = end - F.sum("size").over(Window.partitionBy("row", "later").orderBy("start").rowsBetween(*until))
     return (
         marked.withColumn("run", run)
         .withColumn("owned", owned)
         .groupBy("row", "run", "later", "owned")
-        .agg(F.min("seq").alias("first_seq"), F.sum("size").alias("bytes"))
+        .agg(F.min("start").alias("start"), F.sum("size").alias("bytes"))
     )
 
 
@@ -125,33 +135,52 @@ def dedup_chunks(
     mask_bits: int = MASK_BITS,
     max_chunk: int = MAX_CHUNK,
     min_run: int = MIN_RUN,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_chunks, n_repeated, n_removed``, sizes in bytes.
+    """One row per document: ``doc_id, n_bytes, n_chunks, n_repeated, n_removed, repeated, removed``, sizes in bytes.
 
-    ``n_repeated`` counts the bytes of runs that also occur elsewhere, first occurrences included; ``n_removed`` those
-    of their chunks that an earlier occurrence owns.
+    ``repeated`` has the spans ``(start, end)``, in bytes of the UTF-8 text, of runs that also occur elsewhere, first
+    occurrences included; ``removed`` those of their chunks that an earlier occurrence owns. Spans hold whole characters.
+    ``keep_text`` adds ``kept``, the text without ``removed``; the texts are then written once, for both passes.
     """
-    table = stage_table(chunk_table(docs, id_col, text_col, mask_bits, max_chunk), "chunks")
+    own = numbered(docs, id_col, text_col)
+    own = stage_table(own, "numbered") if keep_text else own
+    table = stage_table(chunk_table(own, mask_bits, max_chunk), "chunks")
     whole = table.groupBy("row").agg(
         F.min("doc_id").alias("doc_id"),
         F.sum("size").cast("long").alias("n_bytes"),
         F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).cast("long").alias("n_chunks"),
     )
     long = F.least(F.lit(min_run).cast("long"), F.col("n_bytes"))
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("bytes")).alias("end"))
     spans = (
         repeated_spans(table)
         .join(whole.select("row", "n_bytes"), "row")
-        .withColumn("removed", F.when(F.col("later") & (F.col("bytes") >= long), F.col("bytes")).otherwise(0))
         .groupBy("row", "run", "n_bytes")
-        .agg(F.sum("bytes").alias("bytes"), F.sum("removed").alias("removed"))
+        .agg(
+            F.sum("bytes").alias("bytes"),
+            F.min("start").alias("start"),
+            F.collect_list(F.when(F.col("later") & (F.col("bytes") >= long), span)).alias("removed"),
+        )
         .where(F.col("bytes") >= long)
         .groupBy("row")
-        .agg(F.sum("bytes").alias("n_repeated"), F.sum("removed").alias("n_removed"))
-    )
-    zero = F.lit(0).cast("long")
-    return whole.join(spans, "row", "left").select(
-        "doc_id", "n_bytes", "n_chunks", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed")
+        .agg(F.sort_array(F.collect_list(span)).alias("repeated"), F.sort_array(F.flatten(F.collect_list("removed"))).alias("removed"))
     )
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    found = whole.join(spans, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("repeated", "removed")})
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    names = ["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "repeated", "removed"]
+    found = found.withColumns({f"n_{c}": total(c) for c in ("repeated", "removed")})
+    if not keep_text:
+        return found.select(*names)
+    return found.join(own.select("row", "t"), "row").select(*names, F.udf(without, "string")("t", "removed").alias("kept"))
+
+
+def without(text, spans):
+    """``text`` without its byte ``spans``, which are in order."""
+    data = text.encode()
+    at = [0, *(x for s in spans for x in s), len(data)]
+    return b"".join(data[i:j] for i, j in zip(at[::2], at[1::2], strict=True)).decode()
 
 
 def op9_chunk_dedup(spark, sf_dir):
