@@ -104,6 +104,17 @@ def test_classes_do_not_depend_on_partitions(spark, partitions):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_one_document_a_class(spark):
+    """Unlike texts under one id all stay; of near copies without ids one stays."""
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(3)]
+    one, two, near = (" ".join(x) for x in words)
+    rows = [(1, one), (1, two), (None, near), (None, near + " more"), (None, near)]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] == 1) == sorted([one, two])
+    assert len([r for r in got if r["doc_id"] is None]) == 1 and len(got) == 3
+
+
 def test_signature_agreement_is_weighted_similarity():
     """Two weighted sets agree on coordinates as often as their weighted Jaccard similarity says."""
     values = np.arange(1, 41, dtype=np.uint64) * np.uint64(7919)

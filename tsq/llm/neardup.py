@@ -338,9 +338,9 @@ def duplicate_classes(
     rows: int = ROWS,
     weighted: bool = False,
 ) -> DataFrame:
-    """``(doc_id, node, class_id)`` by row: classes are the components of all links at ``similarity`` or more.
+    """``(doc_id, node, label, class_id)`` by row: classes are the components of all links at ``similarity`` or more.
 
-    ``node`` is the digest of the text. ``weighted`` sets the signature's weights to shingle counts; links are verified on
+    ``node`` is the digest of the text, ``label`` the smallest of the class. ``weighted`` sets the signature's weights to shingle counts; links are verified on
     sets, and counts only make candidates of texts that repeat themselves alike.
     """
     own = docs.select(
@@ -381,17 +381,20 @@ def duplicate_classes(
         ids.select("node", "rep")
         .join(labels, "node", "left")
         .join(classes, "label", "left")
-        .select("node", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_rep")).alias("class_id"))
+        .select(
+            "node",
+            F.coalesce("label", "node").alias("label"),
+            F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_rep")).alias("class_id"),
+        )
     )
-    return signed.select("doc_id", "node").join(by_node, "node")
+    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "label", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One document of each class, with all its columns: the one with the class's smallest id, then smallest digest."""
     classes = stage_table(duplicate_classes(docs, id_col, text_col, **params), "classes")
     chosen = (
-        classes.withColumn("group", F.coalesce(F.col("class_id").cast("string"), F.hex("node")))
-        .groupBy("group")
+        classes.groupBy("label")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("v"), "doc_id", "node")).alias("x"))
         .select(F.col("x.node").alias("_node"), F.coalesce(F.col("x.doc_id").cast("string"), F.lit("null")).alias("_id"))
     )
