@@ -166,13 +166,12 @@ def removed(rows, length=100):
 
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 1])
-def test_repeated_strings(spark, docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (suffix.LENGTH, suffix.GRAM, hot, suffix.BITS))
+def test_repeated_strings(spark, docs, texts, hot):
     rng = random.Random(1)
     parts = ["".join(rng.choice("abc é") for _ in range(n)) for n in (99, 100, 130, 300)]
     rows = [(i, "".join(rng.choice([rng.choice(parts), "xyz" * rng.randrange(80), rng.choice(parts)[9:]]) for _ in range(rng.randrange(5)))) for i in range(60)]
     for df, have in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, list(texts.items()))):
-        assert {r[0]: tuple(r)[1:] for r in suffix.remove_repeats(df).collect()} == removed(have)
+        assert {r[0]: tuple(r)[1:] for r in suffix.remove_repeats(df, hot=hot).collect()} == removed(have)
 
 
 def test_chunk_dedup(spark):

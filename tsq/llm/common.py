@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsq.llm.kernels import mix
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,3 +54,56 @@ def drop_table(df: DataFrame) -> None:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+PAGE_BITS = 1 << 16
+MOST_BITS = 1 << 30
+
+
+def slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of 64-bit values in a bitmap of ``bits``, a power of two."""
+    return (h & np.uint64(bits - 1)).astype(np.int64), (mix(h) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a bitmap may hold each value; it never denies one that was put in."""
+    out = np.ones(len(h), dtype=bool)
+    for slot in slots(h, len(bitmap) * 8):
+        out &= (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def bitmap_of(values: DataFrame, count: int) -> np.ndarray:
+    """A packed bitmap of about 16 bits for each of ``count`` longs, 128 MB at most.
+
+    It only sifts ahead of a join, so a full one costs time and changes no result. Its pages are put together on the
+    executors, each in one task, and come to the driver once.
+    """
+    bits = 1 << 20
+    while bits < min(16 * count, MOST_BITS):
+        bits *= 2
+
+    def place(batches):
+        for batch in batches:
+            at = np.concatenate(slots(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // PAGE_BITS).astype(np.int32)), pa.array((at % PAGE_BITS).astype(np.int32))], names=["page", "bit"])
+
+    def build(batches):
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            page, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(page, kind="stable")
+            page, bit = page[order], bit[order]
+            cuts = np.flatnonzero(np.diff(page)) + 1
+            if not len(page):
+                continue
+            for p, b in zip(page[np.concatenate([[0], cuts])].tolist(), np.split(bit, cuts), strict=True):
+                pages.setdefault(p, np.zeros(PAGE_BITS, dtype=bool))[b] = True
+        for p, b in pages.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(b).tobytes()], pa.binary())], names=["page", "b"])
+
+    out = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), dtype=np.uint8)
+    placed = values.mapInArrow(place, "page int, bit int").repartition("page")
+    for row in placed.mapInArrow(build, "page int, b binary").toLocalIterator():
+        out[row["page"]] = np.frombuffer(row["b"], dtype=np.uint8)
+    return out.ravel()

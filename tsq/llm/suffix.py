@@ -1,18 +1,22 @@
 """Exact removal of repeated 100-byte strings by merging shard Burrows-Wheeler transforms.
 
-Every 100-byte window of a text has a minimizer, the smallest hash among its 40-byte substrings. Equal windows have equal
-minimizers at equal places, so windows meet in buckets by minimizer, and texts never have to be sorted as a whole. Runs
-of neighbouring windows with one minimizer make a record of at most 160 bytes. Minimizers that occur once are dropped
-with a bitmap of fixed size (it only sifts; what it lets through falls out later). Equal records are folded to their
-first, before the shuffle too, so copies and common passages cost one record.
-
-In the buckets that hold different records, the records are dealt to shards. Each shard's transform is built, and the
-shards are merged by interleave refinement: the interleave of all shards starts in shard order, and every pass orders it
-by one more symbol with a stable counting sort of the transforms' symbols. The pass in which two neighbours first part
-gives their common prefix, so after 100 passes the blocks that have not parted are the repeated intervals of strings of
-100 bytes; no suffix is sorted again. The first start of an interval stays, every other start covers 100 bytes.
-A bucket of over ``HOT`` different records (a passage met by very many contexts) is not put in one task: its windows
-are compared by 128-bit digests in an aggregation instead.
+Every 100-byte window of a text has a minimizer, the smallest hash among its ``GRAM``-byte substrings. Equal windows have
+equal minimizers at equal places, so windows meet in buckets by minimizer, and texts never have to be sorted as a whole.
+Runs of neighbouring windows with one minimizer make a record. Minimizers that occur once are dropped with a bitmap of
+bounded size (it only sifts; what it lets through falls out later). As in prefix-free parsing, equal records are folded to
+their first, so copies and common passages are one record of the dictionary whose transform is built.
+
+In the buckets that hold different records, the records are dealt to shards. Each shard's transform is built, with the
+step from a row to the row of the suffix two bytes before it. The shards are merged by interleave refinement: the
+interleave of all shards starts in shard order, and every pass orders it by the two symbols before each row with a stable
+counting sort. A pass keeps the rows that still share their block with another row and from which a window's start can be
+reached, so after 50 passes the blocks are the repeated intervals of strings of 100 bytes, and the pass in which two
+neighbours part gives their common prefix; no suffix is sorted again. The first start of an interval stays, every other
+start covers 100 bytes.
+
+A bucket of over ``HOT`` different records (a passage met by very many contexts) is not put in one task: its windows are
+dealt to finer buckets by a longer string that they share, first all but ``WIDTH - 1`` of their bytes, then all of them, and
+go the same way from there.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; null ids come after all ids; texts under one
 id are ordered by a hash of the text; rows equal in id and text are one document, listed as often as it was; an empty
@@ -29,19 +33,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.common import read_documents, stage_table, text_of
+from tsq.llm.common import bitmap_of, drop_table, holds, read_documents, stage_table, text_of
 from tsq.llm.kernels import mix, powers, runs, text_buffer
 
 LENGTH = 100
-GRAM = 40
+GRAM = 28
 SHARDS = 4
 UNIT_BYTES = 1 << 20
+TASK_BYTES = 4 << 20
 HOT = 20_000
-BITS = 1 << 27
+WIDTH = 16
 _U = np.uint64
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all substrings of ``gram`` bytes, equal for equal bytes."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum(_BYTES[data] * up[:-1], out=total[1:])
+    h = (total[gram:] - total[:-gram]) * down[: len(data) - gram + 1]
+    h ^= h >> _U(31)
+    h *= _U(0x7FB5D329728EA185)
+    h ^= h >> _U(29)
+    return h
+
+
 def records(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(document, start, windows, minimizer) of the records of a run of documents, and all substring hashes.
 
@@ -50,13 +67,7 @@ def records(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))
     if len(data) < length:
         return none
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTES[data] * up[:-1], out=total[1:])
-    h = (total[gram:] - total[:-gram]) * down[: len(data) - gram + 1]
-    h ^= h >> _U(31)
-    h *= _U(0x7FB5D329728EA185)
-    h ^= h >> _U(29)
+    h = gram_hashes(data, gram)
     span = length - gram + 1
     low, have = h, 1
     while have * 2 <= span:
@@ -98,137 +109,107 @@ def repeats_inside(h: np.ndarray, start: np.ndarray, size: np.ndarray, mh: np.nd
     return out
 
 
-def shard_transform(texts: list[bytes], order: list[int], mark: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, suffix starts) of records with an end mark each; marks differ and sort by record number, after all bytes.
+class Shard:
+    """The transform of records, each closed by a mark; marks sort after all bytes, by record.
 
-    Starts count in the concatenation of all records with their marks; the symbol ``mark`` stands for a mark.
+    ``rows`` are the suffixes' starts in sorted order, ``symbol`` the two bytes before each, ``back`` the row of the suffix
+    that starts two bytes earlier (-1 where the record has none).
     """
-    length = np.array([len(t) + 1 for t in texts])
-    n = int(length.sum())
-    raw = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8).astype(np.int64)
-    ends = np.cumsum(length) - 1
-    rank = raw.copy()
-    rank[ends] = 256 + np.arange(len(texts))
-    kind = np.uint16 if mark > 255 else np.uint8
-    symbol = raw.astype(kind)
-    symbol[ends] = mark
-    step = 1
-    sa = np.argsort(rank, kind="stable")
-    while True:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1024) + nxt
-        sa = np.argsort(key, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
-        new[1:] = np.cumsum(key[sa][1:] != key[sa][:-1])
-        rank = np.empty(n, dtype=np.int64)
-        rank[sa] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            break
-    first = np.cumsum(length) - length
-    before = sa - 1
-    is_first = np.isin(sa, first, assume_unique=True)
-    bwt = np.where(is_first, kind(mark), symbol[np.maximum(before, 0)])
-    base = np.concatenate([np.full(k, o) for k, o in zip(length.tolist(), order, strict=True)])
-    return bwt, base[sa] + sa - first[np.searchsorted(first, sa, side="right") - 1]
-
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray, int]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, block) in merged order: starts with equal block agree on their first ``depth`` symbols.
-
-    ``shards`` are (transform, starts, number of records). The interleave is refined pass by pass; a block that is split
-    in pass h has common prefix h - 1 across the cut.
+    def __init__(self, texts: list[bytes]):
+        length = np.array([len(t) + 1 for t in texts])
+        n = int(length.sum())
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum(length) - 1
+        one = raw + 1
+        one[ends] = 257  # a mark, told apart by its record further down
+        padded = np.concatenate([one, np.zeros(6, dtype=np.int64)])
+        key = np.zeros(n, dtype=np.int64)
+        for k in range(6):
+            key = key * 258 + padded[k : k + n]
+        rank, step = self._ranks(key), 6
+        record = np.repeat(np.arange(len(texts)), length)
+        # what lies behind a mark is another record; there the records' own order decides
+        left = np.repeat(ends, length) - np.arange(n)
+        while step < 2 * int(length.max(initial=1)):
+            later = np.zeros(n, dtype=np.int64)
+            later[: n - step] = rank[step:] + 1 if step < n else 0
+            later = np.where(left < step, record, later + len(texts))
+            new = self._ranks(rank * (n + len(texts) + 2) + later)
+            if int(new.max()) == n - 1:
+                rank = new
+                break
+            rank, step = new, 2 * step
+        self.rows = np.argsort(rank, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[self.rows] = np.arange(n)
+        first = np.repeat(np.cumsum(length) - length, length)
+        has = np.arange(n) - first >= 2
+        before = np.where(has, np.arange(n) - 2, 0)
+        pair = (raw[before] << 8) | raw[np.minimum(before + 1, n - 1)]
+        self.symbol = pair[self.rows].astype(np.uint16)
+        self.back = np.where(has, place[before], -1)[self.rows]
+        self.place = place
+        self.first = np.cumsum(length) - length
+
+    @staticmethod
+    def _ranks(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        up = np.zeros(len(key), dtype=np.int64)
+        up[1:] = np.cumsum(np.diff(key[order]) != 0)
+        out = np.empty(len(key), dtype=np.int64)
+        out[order] = up
+        return out
+
+
+def merge(shards: list[Shard], starts: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): rows of the concatenated shards whose suffixes share their first ``depth`` symbols with another's.
+
+    ``starts`` are by shard the suffixes asked for, as places in the shard's text; ``depth`` is even. The interleave holds
+    the rows of the suffixes ``depth`` further on, and every pass goes back by two symbols.
     """
-    sizes = [len(b) for b, _, _ in shards]
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    block = np.zeros(len(source), dtype=np.int32)
-    marks = np.repeat(np.arange(len(shards), dtype=np.uint8), [m for _, _, m in shards])
-    n, m = len(source), len(marks)
-    symbols = np.concatenate([b for b, _, _ in shards])
-    blocks = 1
-    for _ in range(depth):
-        place = np.argsort(source, kind="stable")  # rows of each shard in turn, in their own order
-        seen = np.empty(n, dtype=symbols.dtype)
-        seen[place] = symbols
-        order = np.argsort(seen, kind="stable")[: n - m]
-        top = seen[order]
-        old = block[order]
-        # suffixes that are only a mark close the order, shard by shard, each a block of its own
-        source = np.concatenate([source[order], marks])
-        cut = np.ones(n, dtype=bool)
-        cut[0] = False
-        cut[1 : n - m] = (top[1:] != top[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(cut, dtype=np.int32)
-        if int(block[-1]) + 1 == blocks:
+    base = np.cumsum([0, *(len(x.rows) for x in shards)])
+    symbol = np.concatenate([x.symbol for x in shards])
+    back = np.concatenate([np.where(x.back < 0, -1, x.back + o) for x, o in zip(shards, base, strict=False)])
+    row = np.concatenate([np.sort(x.place[s + depth]) + o for x, s, o in zip(shards, starts, base, strict=False)])
+    block = np.zeros(len(row), dtype=np.int64)
+    for _ in range(depth // 2):
+        top = symbol[row]
+        order = np.argsort(top, kind="stable")
+        row, top, old = row[order], top[order], block[order]
+        cut = np.ones(len(row) + 1, dtype=bool)
+        cut[1:-1] = (top[1:] != top[:-1]) | (old[1:] != old[:-1])
+        shared = ~(cut[:-1] & cut[1:])
+        row, block = back[row[shared]], np.cumsum(cut[:-1])[shared]
+        if not len(row):
             break
-        blocks = int(block[-1]) + 1
-    place = np.argsort(source, kind="stable")
-    starts = np.empty(n, dtype=np.int64)
-    starts[place] = np.concatenate([s for _, s, _ in shards])
-    return starts, block
-
-
-def later_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> list[tuple[int, int]]:
-    """(record, offset) of every window that an earlier one equals; ``rank`` gives records' first starts in order.
-
-    ``rank`` is (id, tag, start) by record, as a structured order: lower comes first.
-    """
-    first = np.zeros(len(texts), dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in texts[:-1]], out=first[1:])
-    # UTF-8 has no byte 255; bytes that are not UTF-8 take a wider symbol
-    mark = 256 if any(b"\xff" in t for t in texts) else 255
-    parts = []
-    for s in range(min(shards, len(texts))):
-        mine = list(range(s, len(texts), shards))
-        parts.append((*shard_transform([texts[k] for k in mine], [int(first[k]) for k in mine], mark), len(mine)))
-    starts, block = merge(parts, length)
-    count = np.bincount(block)
-    many = count[block] > 1
-    starts, block = starts[many], block[many]
-    record = np.searchsorted(first, starts, side="right") - 1
-    offset = starts - first[record]
-    room = np.array([len(t) for t in texts])[record] - offset >= length
-    record, offset, block = record[room], offset[room], block[room]
+    return row, block
+
+
+def later_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """(record, offset) of every window that an earlier one equals; ``rank`` gives the records' order."""
+    mine = [np.arange(s, len(texts), shards) for s in range(min(shards, len(texts)))]
+    parts = [Shard([texts[k] for k in m.tolist()]) for m in mine]
+    size = np.array([len(t) for t in texts])
+    starts = []
+    for m, part in zip(mine, parts, strict=True):
+        count = np.maximum(size[m] - length + 1, 0)
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        starts.append(np.repeat(part.first, count) + within)
+    row, block = merge(parts, starts, length)
+    base = np.cumsum([0, *(len(p.rows) for p in parts)])
+    which = np.searchsorted(base, row, side="right") - 1
+    record, offset = np.empty(len(row), dtype=np.int64), np.empty(len(row), dtype=np.int64)
+    for s, (m, part) in enumerate(zip(mine, parts, strict=True)):
+        own = which == s
+        at = part.rows[row[own] - base[s]]
+        k = np.searchsorted(part.first, at, side="right") - 1
+        record[own], offset[own] = m[k], at - part.first[k]
     order = np.lexsort((offset, rank[record], block))
     record, offset, block = record[order], offset[order], block[order]
     lead = np.ones(len(block), dtype=bool)
     lead[1:] = block[1:] != block[:-1]
-    return list(zip(record[~lead].tolist(), offset[~lead].tolist(), strict=True))
-
-
-def spans_of(starts, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Union of windows at sorted starts."""
-    out: list[list[int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1][1] = s + length
-        else:
-            out.append([s, s + length])
-    return [(a, b) for a, b in out]
-
-
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h & _U(bits - 1)).astype(np.int64), (mix(h) & _U(bits - 1)).astype(np.int64)
-
-
-def sift(values: DataFrame, bits: int = BITS) -> bytes:
-    """A packed bitmap of fixed size that holds all 64-bit ``values``."""
-    page = 1 << 15
-
-    def build(batches):
-        mine = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            for slot in _slots(batch.column(0).to_numpy().view(_U), bits):
-                mine[slot] = True
-        packed = np.packbits(mine).reshape(-1, page)
-        for k in np.flatnonzero(packed.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed[k].tobytes()], pa.binary())], names=["k", "b"])
-
-    out = np.zeros((bits // 8 // page, page), dtype=np.uint8)
-    for row in values.coalesce(8).mapInArrow(build, "k int, b binary").toLocalIterator():
-        out[row["k"]] |= np.frombuffer(row["b"], dtype=np.uint8)
-    return out.tobytes()
+    return record[~lead], offset[~lead]
 
 
 def _minimizers(own: DataFrame, length: int, gram: int) -> DataFrame:
@@ -247,49 +228,92 @@ def _minimizers(own: DataFrame, length: int, gram: int) -> DataFrame:
     return own.mapInArrow(run, "mh long, n int")
 
 
-def _candidates(own: DataFrame, held, length: int, gram: int, bits: int) -> DataFrame:
-    """Records whose minimizer the bitmap holds: ``mh, id, tag, start, content, inner`` (it may repeat a window itself)."""
+FOUND = "bucket long, digest long, id long, tag long, start int, size int, inner boolean, content binary"
+_NAMES = ["bucket", "digest", "id", "tag", "start", "size", "inner", "content"]
+
+
+def _row_batch(bucket, ids, tags, start, content: list[bytes], inner) -> pa.RecordBatch:
+    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, content), dtype=_U, count=len(content)).view(np.int64)
+    size = np.fromiter(map(len, content), dtype=np.int32, count=len(content))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket), pa.array(digest), ids, tags, pa.array(start.astype(np.int32)), pa.array(size), pa.array(inner), pa.array(content, pa.binary())], names=_NAMES
+    )
+
+
+def _candidates(own: DataFrame, held, length: int, gram: int) -> DataFrame:
+    """Records whose minimizer the bitmap holds; ``inner`` tells that a record may repeat a window itself."""
 
     def run(batches):
-        mask = np.frombuffer(held.value, dtype=np.uint8)
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for i, _, part, at in runs(data, offsets):
                 doc, start, size, mh, h = records(part, at, length, gram)
-                hit = np.ones(len(mh), dtype=bool)
-                for slot in _slots(mh, bits):
-                    hit &= (mask[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                hit = holds(held.value, mh)
                 doc, start, size, mh = doc[hit], start[hit], size[hit], mh[hit]
                 inner = repeats_inside(h, start, size, mh, length - gram + 1)
                 raw = part.tobytes()
                 content = [raw[s : s + k + length - 1] for s, k in zip(start.tolist(), size.tolist(), strict=True)]
                 row = pa.array(i + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mh.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array((start - at[doc]).astype(np.int32)), pa.array(content, pa.binary()), pa.array(inner)],
-                    names=["mh", "id", "tag", "start", "content", "inner"],
-                )
+                yield _row_batch(mh.view(np.int64), batch.column(0).take(row), batch.column(1).take(row), start - at[doc], content, inner)
+
+    return own.mapInArrow(run, FOUND)
+
 
-    return own.mapInArrow(run, "mh long, id long, tag long, start int, content binary, inner boolean")
+def _finer(hot: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """The windows of hot records in finer buckets: a bucket's windows share all but ``width - 1`` of their bytes.
+
+    A minimizer first starts ``far`` bytes into a window, which equal windows have in common; windows of one record with one
+    such start and one ``far // width`` stay together. With a width of 1 every window is alone, and buckets need not be
+    minimizers.
+    """
+
+    def run(batches):
+        for batch in batches:
+            bucket, at, content, out, start, source = [], batch.column(4).to_pylist(), batch.column(7).to_pylist(), [], [], []
+            for k, (mh, text) in enumerate(zip(batch.column(0).to_numpy().view(_U), content, strict=True)):
+                s = np.arange(len(text) - length + 1)
+                lead = np.flatnonzero(gram_hashes(np.frombuffer(text, dtype=np.uint8), gram) == mh) if width > 1 else s
+                o = lead[np.searchsorted(lead, s)]
+                part = (o - s) // width
+                edge = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])))
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(s)], strict=True):
+                    g = int(part[a])
+                    core = text[int(o[a]) - g * width : int(o[a]) - g * width + length + 1 - width]
+                    bucket.append(xxhash.xxh3_64_intdigest(core, seed=(width << 32) + g) ^ int(mh))
+                    out.append(text[a : b - 1 + length])
+                    start.append(at[k] + a)
+                    source.append(k)
+            row = pa.array(source, pa.int64())
+            yield _row_batch(
+                np.array(bucket, dtype=_U).view(np.int64), batch.column(2).take(row), batch.column(3).take(row), np.array(start), out, np.zeros(len(out), dtype=bool)
+            )
+
+    return hot.select(*_NAMES).mapInArrow(run, FOUND)
 
 
 SPAN = "id long, tag long, s int, e int"
 
 
-def _merged(reps: DataFrame, length: int, unit: int = UNIT_BYTES) -> DataFrame:
-    """Spans of the later windows of records ``(mh, id, tag, start, content)`` dealt by ``mh``."""
+def _merged(reps: DataFrame, total: int, length: int, unit: int = UNIT_BYTES) -> DataFrame:
+    """Spans of the later windows of records ``(bucket, id, tag, start, content)`` of ``total`` bytes, dealt by bucket."""
 
     def solve(rows):
         texts = [r[4] for r in rows]
         order = sorted(range(len(rows)), key=lambda k: (rows[k][1], rows[k][2], rows[k][3]))
         rank = np.empty(len(rows), dtype=np.int64)
         rank[order] = np.arange(len(rows))
-        found: dict[int, list[int]] = {}
-        for k, offset in later_windows(texts, rank, length):
-            found.setdefault(k, []).append(rows[k][3] + offset)
-        out = [(rows[k][1], rows[k][2], a, b) for k, starts in found.items() for a, b in spans_of(sorted(starts), length)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "tag", "s", "e"]
-        )
+        record, offset = later_windows(texts, rank, length)
+        order = np.lexsort((offset, record))
+        record, offset = record[order], offset[order]
+        # neighbouring windows of a record make one span
+        edge = np.ones(len(record) + 1, dtype=bool)
+        edge[1:-1] = (record[1:] != record[:-1]) | (offset[1:] > offset[:-1] + length)
+        first = np.flatnonzero(edge[:-1])
+        which = record[first]
+        begin = np.array([r[3] for r in rows], dtype=np.int64)[which]
+        end = begin + offset[np.flatnonzero(edge[1:])] + length
+        ids = [np.array([r[c] for r in rows], dtype=np.int64)[which] for c in (1, 2)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array((begin + offset[first]).astype(np.int32)), pa.array(end.astype(np.int32))], names=["id", "tag", "s", "e"])
 
     def run(batches):
         rows, size, last = [], 0, None
@@ -304,75 +328,96 @@ def _merged(reps: DataFrame, length: int, unit: int = UNIT_BYTES) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return reps.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, SPAN)
-
+    # a stated number of tasks: the work is in the sorting, which small sizes hide
+    tasks = max(reps.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return reps.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SPAN)
 
-def _digested(reps: DataFrame, length: int) -> DataFrame:
-    """The same spans for hot buckets, by 128-bit digests of the single windows."""
 
-    def run(batches):
-        for batch in batches:
-            for _, i, tag, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = len(content) - length + 1
-                joined = b"".join([xxhash.xxh3_128_digest(content[o : o + length]) for o in range(k)])
-                pair = np.frombuffer(joined, dtype=">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([i] * k, pa.int64()), pa.array([tag] * k, pa.int64()), pa.array(np.arange(start, start + k).astype(np.int32))],
-                    names=["hi", "lo", "id", "tag", "s"],
-                )
-
-    each = stage_table(reps.mapInArrow(run, "hi long, lo long, id long, tag long, s int"), "windows")
-    place = F.struct("id", "tag", "s")
-    first = each.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
-    return each.join(first, ["hi", "lo"]).where(F.col("first") < place).select("id", "tag", "s", (F.col("s") + length).cast("int").alias("e"))
-
-
-def repeated_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bits: int = BITS) -> DataFrame:
-    """Spans ``(id, tag, s, e)`` of ``own`` = ``(id, tag, t)`` that earlier strings of ``length`` bytes cover."""
-    twice = _minimizers(own, length, gram).groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1").select("mh")
-    held = own.sparkSession.sparkContext.broadcast(sift(twice, bits))
-    found = stage_table(_candidates(own, held, length, gram, bits), "records")
+def _settle(found: DataFrame, length: int, gram: int, hot: int, width: int) -> DataFrame:
+    """Spans of all later windows among the records of a staged table, which is dropped with the last that reads it."""
     place = F.struct("id", "tag", "start")
-    reps = found.groupBy("mh", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"))
+    reps = found.groupBy("bucket", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.max("size").alias("size"))
     reps = stage_table(reps, "reps")
-    copies = found.join(reps.where("n > 1").select("mh", "content", "first"), ["mh", "content"]).where(F.col("first") < place)
-    whole = copies.select("id", "tag", F.col("start").alias("s"), (F.col("start") + F.length("content")).cast("int").alias("e"))
-    kinds = reps.groupBy("mh").agg(F.count(F.lit(1)).alias("k"), F.max("inner").alias("own")).where("k > 1 OR own").drop("own")
-    mixed = stage_table(reps.join(kinds, "mh").select("mh", "first.id", "first.tag", "first.start", "content", "k"), "mixed")
-    cool = _merged(mixed.where(F.col("k") <= hot).drop("k"), length)
-    heated = _digested(mixed.where(F.col("k") > hot).drop("k"), length)
-    return whole.unionByName(cool).unionByName(heated)
+    copies = found.select("bucket", "digest", "id", "tag", "start", "size").join(reps.where("n > 1").select("bucket", "digest", "first"), ["bucket", "digest"])
+    copies = copies.where(F.col("first") < place)
+    whole = stage_table(copies.select("id", "tag", F.col("start").alias("s"), (F.col("start") + F.col("size")).cast("int").alias("e")), "spans")
+    kinds = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max("inner").alias("own"), F.sum("size").alias("bytes")).where("k > 1 OR own")
+    kinds = stage_table(kinds.select("bucket", "k", "bytes"), "kinds")
+    many, most, total = kinds.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    held = found.sparkSession.sparkContext.broadcast(bitmap_of(kinds.select("bucket"), many))
+
+    def sift(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(held.value, batch.column(0).to_numpy().view(_U))))
+
+    mixed = found.mapInArrow(sift, FOUND).groupBy("bucket", "digest").agg(F.min(F.struct("id", "tag", "start", "size", "inner", "content")).alias("x"))
+    mixed = stage_table(mixed.select("bucket", "digest", "x.*").join(kinds.select("bucket", "k"), "bucket"), "mixed")
+    drop_table(found)
+    drop_table(reps)
+    out = whole.unionByName(_merged(mixed.where(F.col("k") <= hot).select("bucket", "id", "tag", "start", "content"), total, length))
+    if most > hot:
+        finer = stage_table(_finer(mixed.where(F.col("k") > hot), length, gram, width), "finer")
+        # after a width of 1 a bucket has one record, however often it occurs
+        out = out.unionByName(_settle(finer, length, gram, hot, 1))
+    return out
+
+
+def repeated_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, width: int = WIDTH) -> DataFrame:
+    """Spans ``(id, tag, s, e)`` of ``own`` = ``(id, tag, t)`` that earlier strings of ``length`` bytes cover."""
+    if length % 2 or gram >= length or not 1 <= width < length - gram:
+        raise ValueError("an even length above the substrings' and the width's sum")
+    twice = stage_table(_minimizers(own, length, gram).groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1").select("mh"), "twice")
+    held = own.sparkSession.sparkContext.broadcast(bitmap_of(twice, twice.count()))
+    return _settle(stage_table(_candidates(own, held, length, gram), "records"), length, gram, hot, width)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, **params) -> DataFrame:
     """By row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the remaining bytes ``kept``."""
     own = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).alias("t"), F.col(id_col).cast("long").alias("doc_id")
     )
-    spans = stage_table(repeated_spans(own.select("id", "tag", "t"), length, gram), "spans")
-    by_doc = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    pair = F.shiftleft(F.col("s").cast("long"), 32) + F.col("e")
+    by_doc = repeated_spans(own.select("id", "tag", "t"), length, gram, **params).groupBy("id", "tag").agg(F.collect_list(pair).alias("spans"))
+    by_doc = stage_table(by_doc, "by-doc").select("id", "tag", "spans")
+    touched = by_doc.select(F.xxhash64("id", "tag").alias("x"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(touched, touched.count()))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
-    def run(batches):
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(len(names))], names=names)
+
+    def part(inside: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(holds(held.value, batch.column(0).to_numpy().view(_U)) == inside))
+
+        keyed = own.select(F.xxhash64("id", "tag").alias("x"), "id", "tag", "doc_id", "t")
+        return keyed.mapInArrow(run, "x long, id long, tag long, doc_id long, t string")
+
+    def whole(batches):
         for batch in batches:
-            out = []
-            for i, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                kept, removed, n = text, 0, 0
-                if cuts.is_valid:
-                    flat = cuts.values
-                    edge = np.zeros(len(text) + 1, dtype=np.int32)
-                    np.add.at(edge, flat.field("s").to_numpy(), 1)
-                    np.add.at(edge, flat.field("e").to_numpy(), -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                    removed = int(gone.sum())
-                    n = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((i, len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(len(names))], names=names)
+            texts = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+            yield table([(i, len(t), 0, 0, hashlib.sha256(t).hexdigest(), t) for i, t in texts])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return own.join(by_doc, ["id", "tag"], "left").select("doc_id", "t", "spans").mapInArrow(run, schema)
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+                at = np.asarray(spans.values, dtype=np.int64) if spans.is_valid else np.zeros(0, dtype=np.int64)
+                edge = np.zeros(len(text) + 1, dtype=np.int32)
+                np.add.at(edge, at >> 32, 1)
+                np.add.at(edge, at & 0xFFFFFFFF, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                n = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((i, len(text), int(gone.sum()), n, hashlib.sha256(kept).hexdigest(), kept))
+            yield table(out)
+
+    # only the texts that lose something move to their spans
+    clean = part(False).select("doc_id", "t").mapInArrow(whole, schema)
+    return clean.unionByName(part(True).join(by_doc, ["id", "tag"], "left").select("doc_id", "t", "spans").mapInArrow(cut, schema))
 
 
 def op3_suffix_dedup(spark, sf_dir):
