@@ -11,10 +11,10 @@ below 1e-4.
 
 Every link is verified: candidates pass a signature estimate with a margin of over five standard deviations, then the
 shingle sets themselves. No large bucket is expanded into rows of pairs. Equal texts are one node. Each bucket offers its members
-one hub; a node is first verified against its best hub, components are labelled, and only pairs across labels go on.
-Buckets that still hold several labels are settled by all their cross-label pairs: as rows where they have at most
-``SMALL`` members, and beyond that inside groups of two blocks of members, which compare the shingle sets and give only
-the links that join labels. The work in such a bucket grows with the square of its members that are outside its
+one hub; a node is first verified against the hub that it meets in most buckets, components are labelled, and only pairs
+across labels go on. Buckets that still hold several labels are settled by all their cross-label pairs: as rows where they
+have at most ``SMALL`` members, and beyond that inside groups of two blocks of members, which compare the shingle sets and
+give only the links that join labels; both ways compare every pair. The work in such a bucket grows with the square of its members that are outside its
 commonest label, the rows with that square over ``BLOCK``.
 
 Defined results: null and empty texts have no shingles and are classes of their own text (equal texts share a class, so
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsq.llm.common import read_documents, stage_table, text_of
+from tsq.llm.common import bitmap_of, drop_table, holds, read_documents, stage_table, text_of
 from tsq.llm.kernels import distinct_sorted, lists, mix, runs, shingles, span_hashes, text_buffer, words
 
 SIZE = 5
@@ -39,6 +39,8 @@ ROWS = 6
 SMALL = 16
 BLOCK = 512
 JUMP = 6
+HOT = 1000
+SALTS = 64
 MARGIN = 0.17
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -138,50 +140,23 @@ def signature_batches(batches, bands: int, rows: int, weighted: bool):
             )
 
 
-def _bloom_slots(nodes: list[bytes], bits: int) -> np.ndarray:
-    head = np.frombuffer(b"".join(nodes), dtype="<u8").reshape(-1, 2)
-    return np.stack([(mix(head[:, 0] + _U(s)) & _U(bits - 1)).astype(np.int64) for s in (1, 2)])
-
-
-def _bloom(nodes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
-    """A packed bitmap of fixed size that holds all ``nodes``; it is built in a few parts on the executors and only sifts."""
-
-    def build(batches):
-        mine = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            mine[_bloom_slots(batch.column(0).to_pylist(), bits).ravel()] = True
-        used = np.packbits(mine).reshape(-1, 4096)
-        for k in np.flatnonzero(used.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([used[k].tobytes()], type=pa.binary())], names=["k", "b"])
-
-    out = np.zeros((bits // 8 // 4096, 4096), dtype=np.uint8)
-    for row in nodes.coalesce(8).mapInArrow(build, "k long, b binary").toLocalIterator():
-        out[row["k"]] |= np.frombuffer(row["b"], dtype=np.uint8)
-    return out.ravel()
-
-
 def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, items)``: sorted distinct shingles of the texts in ``nodes``. A bitmap spares the others the work."""
-    bits = 1 << 25
-    held = own.sparkSession.sparkContext.broadcast(_bloom(nodes, bits))
+    """``(node, items)``: sorted distinct shingles of the texts ``(tag, node, t)`` in ``nodes``; a bitmap spares the others the
+    work."""
+    held = own.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select("tag"), nodes.count()))
 
     def run(batches):
-        mask = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            slots = _bloom_slots(batch.column(0).to_pylist(), bits)
-            hit = (mask[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(hit.all(axis=0)))
-            data, offsets = text_buffer(batch.column(1))
+            batch = batch.filter(pa.array(holds(held.value, batch.column(0).to_numpy().view(_U))))
+            data, offsets = text_buffer(batch.column(2))
             for i, j, part, at in runs(data, offsets):
                 values, bounds, _ = elements(part, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), lists(values.view(np.int64), bounds, pa.int64())], names=["node", "items"]
+                    [batch.column(1).slice(i, j - i), lists(values.view(np.int64), bounds, pa.int64())], names=["node", "items"]
                 )
 
-    found = own.select("node", "t").mapInArrow(run, "node binary, items array<long>")
-    return found.join(nodes, "node", "left_semi")
+    found = own.select("tag", "node", "t").mapInArrow(run, "node binary, items array<long>")
+    return found.join(nodes.select("node"), "node", "left_semi")
 
 
 def estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -248,10 +223,6 @@ def _labelled(df: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return df.join(side, name, "left").withColumn(f"l{name}", F.coalesce(f"l{name}", name))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return _labelled(_labelled(pairs, labels, "a"), labels, "b").where("la <> lb").select("a", "b")
-
-
 def _forest(near: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that join the labels which ``near`` joins, no more than needed; label ``k`` has the rows from ``start[k]`` on."""
     linked = np.logical_or.reduceat(np.logical_or.reduceat(near, start, axis=0), start, axis=1)
@@ -343,25 +314,22 @@ def duplicate_classes(
     ``node`` is the digest of the text, ``label`` the smallest of the class. ``weighted`` sets the signature's weights to shingle counts; links are verified on
     sets, and counts only make candidates of texts that repeat themselves alike.
     """
-    own = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("node"), text_of(text_col).alias("t")
-    )
+    node = F.unhex(F.md5(text_of(text_col)))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), node.alias("node"), F.xxhash64(node).alias("tag"), text_of(text_col).alias("t"))
     signed = stage_table(
-        own.mapInArrow(lambda b: signature_batches(b, bands, rows, weighted), "doc_id long, node binary, keys array<long>, sig binary"), "signed"
+        own.select("doc_id", "node", "t").mapInArrow(lambda b: signature_batches(b, bands, rows, weighted), "doc_id long, node binary, keys array<long>, sig binary"), "signed"
     )
-    tag = F.xxhash64("node")
-    ids = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    ids = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ids")
     texts = stage_table(signed.dropDuplicates(["node"]).select("node", "keys", "sig"), "texts")
     sigs = texts.select("node", "sig")
-    entries = texts.select(tag.alias("tag"), "node", F.explode("keys").alias("key"))
+    entries = texts.select(F.xxhash64("node").alias("tag"), "node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("key")
     hits = stage_table(entries.join(shared, "key", "left_semi"), "hits")
-    hubs = hits.groupBy("key").agg(F.min(F.struct("tag", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    star = hits.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = stage_table(estimate(star, sigs, similarity - MARGIN), "likely")
-    sets = stage_table(shingle_sets(own, hits.select("node").distinct()).dropDuplicates(["node"]), "sets")
+    sets = stage_table(shingle_sets(own, hits.select("tag", "node").distinct()).dropDuplicates(["node"]), "sets")
 
-    best = likely.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    hubs = hits.groupBy("key").agg(F.min(F.struct("tag", "node")).alias("hub"))
+    met = hits.join(hubs, "key").where("node <> hub.node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.max_by("hub.node", F.struct("n", -F.col("hub.tag"))).alias("b")).select(F.col("node").alias("a"), "b")
     links = stage_table(verify(best, sets, similarity), "links")
     labels = components(links)
     known = _labelled(hits.select("key", F.col("node").alias("a")), labels, "a").select("key", F.col("a").alias("node"), F.col("la").alias("label"))
@@ -371,23 +339,37 @@ def duplicate_classes(
     a = few.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     b = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
     # at most SMALL - 1 partners a row
-    pairs = a.join(b, "key").where("la < lb").select("a", "b").union(_across(likely.select("a", "b"), labels)).distinct()
+    pairs = a.join(b, "key").where("la < lb").select("a", "b").distinct()
     more = verify(estimate(pairs, sigs, similarity - MARGIN).select("a", "b"), sets, similarity)
     wide = settle(opened.where(F.col("n") > SMALL), sets, similarity, BLOCK)
     labels = components(links.union(stage_table(more.union(wide), "links")))
+    for table in (texts, hits, sets, opened):
+        drop_table(table)
 
     classes = labels.join(ids.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_rep"))
     by_node = (
-        ids.select("node", "rep")
-        .join(labels, "node", "left")
+        ids.join(labels, "node", "left")
         .join(classes, "label", "left")
         .select(
             "node",
+            "copies",
             F.coalesce("label", "node").alias("label"),
             F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_rep")).alias("class_id"),
         )
     )
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "label", "class_id")
+    return _by_row(signed.select("doc_id", "node"), by_node)
+
+
+def _by_row(rows: DataFrame, by_node: DataFrame) -> DataFrame:
+    """Joins what is known of each node to its rows. A node with over ``1 / HOT`` of all rows, of which there are fewer than
+    ``HOT``, meets them in ``SALTS`` parts."""
+    total = by_node.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") > max(total / HOT, SALTS)
+    salted = by_node.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    names = by_node.where(hot).select("node", F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(names), "node", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    return dealt.join(salted, ["node", "salt"]).select("doc_id", "node", "label", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
