@@ -260,17 +260,63 @@ def test_pii_base(spark):
         found = base_spans(t)
         text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found)
         r = got[d]
-        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == j for _, x, _ in found) for j in range(4)]
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x == j for _, x, _ in found) for j in range(4)]
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
 
 
+def test_added_spans(spark):
+    """The method adds planted data outside the base patterns, and hardly anything else."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def card():
+        d = "4" + digits(14)
+        s = sum(v - 9 * (v > 9) for v in (int(c) * (2 - i % 2) for i, c in enumerate(reversed(d))))
+        return d + str(-s % 10)
+
+    dotted = lambda c: ".".join(c[i : i + 4] for i in range(0, 16, 4))
+    good = {
+        "secret": lambda: (f'token = "{hexed(40)}"', 9, 1),
+        "email": lambda: (f"mail {name()} [at] {name()} [dot] com", 5, 0),
+        "phone": lambda: (f"call ({rng.randrange(200, 999)}) {digits(3)}-{digits(4)}", 5, 0),
+        "card": lambda: (f"visa card {dotted(card())}", 10, 0),
+    }
+    bad = [lambda: f"build {name()}-{digits(2)}/{name()}_{name()}/{name()}", lambda: f"part {dotted('0' + digits(15))}", lambda: f"ratio 0{digits(3)} {digits(5)}", lambda: "meet at noon dot the line"]
+    rows, want = [], {}
+    for i in range(600):
+        kind = rng.choice([*good, "none", "none"])
+        if kind == "none":
+            rows.append((i, f"{name()} {rng.choice(bad)()} {name()}"))
+        else:
+            text, skip, end = good[kind]()
+            rows.append((i, f"{name()} {text} {name()}"))
+            want[i] = f"{kind}:{7 + skip}:{7 + len(text) - end}"
+    got = {r["doc_id"]: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {(i, x) for i, r in got.items() for x in filter(None, r["spans"].split(","))}
+    right = added & set(want.items())
+    assert len(right) > 0.9 * len(want) and len(right) > 0.95 * len(added), (len(right), len(want), len(added))
+    assert sum(r[f"n_{k}"] for r in got.values() for k in pii.BASE_KINDS) == 0
+
+
+def test_many_spans(spark):
+    """Places and masks of thousands of matches in one text."""
+    text = " ".join(f"u{i}@x.org" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    weights = {k: [-9.0, 0, 0, 0, 0] for k in range(len(pii.KINDS))}
+    spans = pii.find_spans(df, weights=weights).first()["spans"].split(",")
+    assert spans == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[^ ]+", text)]
+    assert pii.mask_text(df, weights=weights).first()["text"] == " ".join(["[EMAIL]"] * 3000)
+
+
 def test_labelers_are_weighed():
     """A labeler that agrees with the others is trusted more than one that votes at random."""
     counts = [(3, (True, True, False), True, 400), (3, (True, True, True), True, 400), (3, (False, False, False), False, 400), (3, (False, False, True), False, 400), (3, (False, True, False), True, 30)]
     prior, rates = pii.estimate(counts)[3]
     assert rates[1][0] > 0.9 and rates[1][1] < 0.3 and abs(rates[2][0] - rates[2][1]) < 0.1 and 0.4 < prior < 0.6
-    w = pii.train_classifier(counts, {**{k: (0.5, rates) for k in range(3)}, 3: (prior, rates)})[3]
+    w = pii.train_classifier(counts, {**{k: (0.5, rates) for k in range(len(pii.KINDS))}, 3: (prior, rates)})[3]
     assert w[1] > 1 and abs(w[3]) < 0.5
 
 

@@ -1,14 +1,18 @@
-"""Personal data by weak supervision, in DataFrame expressions only.
-
-Candidates are found per kind (email, ip, card, phone) by linear patterns. The base spans are those of the strict
-patterns; wider patterns add candidates such as telephone numbers without a country code. Three labelers vote on each
-candidate: the strict pattern (with its checks), a gazetteer (top-level domains, card prefixes, address ranges, area
-code form) and the words before the span. Expectation maximisation over the counts of vote patterns, a bounded table,
-estimates each labeler's reliability per kind under conditional independence; the posteriors then train a logistic span
-classifier on the votes and the span's form. Candidates that the classifier accepts are added, base spans always stay.
+"""Personal data and secrets by weak supervision, in DataFrame expressions only.
+
+Candidates are found per kind (email, ip, card, phone, secret) by linear patterns. The base spans are those of the strict
+patterns of the first four kinds; wider patterns add candidates: addresses spelled with "at" and "dot", addresses of eight
+hexadecimal groups, dotted card numbers and digit runs of a card's length that fail the check, telephone numbers without a
+country code, and long runs of mixed letters and digits, which may be secrets. Three labelers vote on each candidate: the
+form (the strict pattern with its checks, or a kind's own rule), a gazetteer (top-level domains, card prefixes, address
+ranges, area codes, lengths and prefixes of keys) and the words on both sides of the span. Expectation maximisation over the
+counts of vote patterns, a bounded table, estimates each labeler's reliability per kind under conditional independence; the
+posteriors then train a logistic span classifier on the votes and the span's shape. Candidates that the classifier accepts
+are added, base spans always stay.
 
 Patterns are matched on a copy of the text of equal length in which separators inside runs are marked, so every pattern
-is a plain run of characters: Java's matcher then neither recurses nor backtracks over long digit or label runs.
+is a plain run of characters: Java's matcher then neither recurses nor backtracks over long digit or label runs. The
+places of matches are added up in blocks, so the work is linear in their number.
 
 Defined results: a null text is empty and has no spans; repeated rows and null ids are judged row by row; an empty table
 gives no rows; other columns are ignored by :func:`find_spans` and kept by :func:`mask_text`.
@@ -23,22 +27,30 @@ from pyspark.sql import functions as F
 
 from tsq.llm.common import read_documents, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 LABELERS = ("strict", "gazetteer", "context")
 ROUNDS = 30
 ACCEPT = 0.8
+BLOCK = 128
 #: Private-use characters: the mark for separators, and what stands for a mark that a text has itself.
 _M, _N = "\ue000", "\ue001"
 
 # Gazetteers and context words.
 DOMAINS = "com|org|net|edu|gov|io|co|info|de|fr|es|uk|eu|us"
 CARD_PREFIXES = "4|5[1-5]|2[2-7]|3[47]|6011|65"
+KEY_PREFIXES = "AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|eyJ"
+KEY_LENGTHS = (32, 40, 56, 64, 96, 128)
 CONTEXT = {
-    "email": "e-?mail|mail|contact|write|reach",
-    "ip": r"\bip\b|address|host|server|login|from",
-    "card": "card|visa|credit|payment|account|mastercard",
-    "phone": "phone|tel|call|mobile|fax|contact|dial",
+    "email": "e-?mail|contact|write to|reach|correo|courriel|kontakt",
+    "ip": r"\bip\b|ipv[46]|address|host|server|login|router|adresse",
+    "card": "card|visa|credit|payment|account|mastercard|karte|carte|tarjeta",
+    "phone": r"phone|\btel|call|mobile|\bfax|contact|dial|anruf|appel|llam",
+    "secret": "token|secret|passw|pwd|api|credential|auth|bearer|private|clave",
 }
+#: Texts without a spelled dot or a bracketed at have no spelled address.
+SPELLED = r"(?i:[ )\]]dot[ (\[])|(?i:[\[(]at[\])])"
+ASSIGNED = r"(?:token|secret|passw(?:or)?d|pwd|key|credential|auth|bearer)[\x22\x27\]]{0,2} ?[:=]{0,2} ?[\x22\x27]?$"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -52,9 +64,19 @@ def _lit(text: str) -> str:
 def _matches(text: str, pattern: str) -> str:
     """SQL array of (s, e, m) of a pattern's matches: lengths of the pieces between them give the places."""
     p = _lit(pattern)
-    step = "struct(a.pos + length(p[i - 1]) + length(h[i - 1]) AS pos, concat(a.found, array(struct(a.pos + length(p[i - 1]) AS s, a.pos + length(p[i - 1]) + length(h[i - 1]) AS e, h[i - 1] AS m))) AS found)"
-    zero = "struct(0 AS pos, CAST(array() AS array<struct<s:int,e:int,m:string>>) AS found)"
-    body = f"CASE WHEN size(h) = 0 THEN CAST(array() AS array<struct<s:int,e:int,m:string>>) ELSE {_let(f'split({text}, {p}, -1)', 'p', f'aggregate(sequence(1, size(h)), {zero}, (a, i) -> {step}, a -> a.found)')} END"
+    kind = "array<struct<s:int,e:int,m:string>>"
+    step = (
+        "struct(a.pos + length(p[i - 1]) + length(h[i - 1]) AS pos, "
+        "concat(a.found, array(struct(a.pos + length(p[i - 1]) AS s, a.pos + length(p[i - 1]) + length(h[i - 1]) AS e, h[i - 1] AS m))) AS found)"
+    )
+    zero = f"struct(0 AS pos, CAST(array() AS {kind}) AS found)"
+    block = f"aggregate(sequence(b * {BLOCK} + 1, least((b + 1) * {BLOCK}, size(h))), {zero}, (a, i) -> {step})"
+    moved = "transform(x.found, f -> struct(f.s + a.pos AS s, f.e + a.pos AS e, f.m AS m))"
+    joined = (
+        f"aggregate(transform(sequence(0, (size(h) - 1) div {BLOCK}), b -> {block}), struct(0 AS pos, CAST(array() AS array<{kind}>) AS found), "
+        f"(a, x) -> struct(a.pos + x.pos AS pos, concat(a.found, array({moved})) AS found), a -> flatten(a.found))"
+    )
+    body = f"CASE WHEN size(h) = 0 THEN CAST(array() AS {kind}) ELSE {_let(f'split({text}, {p}, -1)', 'p', joined)} END"
     return _let(f"regexp_extract_all({text}, {p}, 0)", "h", body)
 
 
@@ -65,58 +87,78 @@ def _luhn(digits: str) -> str:
 
 
 def _candidates() -> Column:
-    """Array of candidates (s, k, e, base, gaz, ctx, form) of the column ``_t``; k is the kind's number from 0."""
+    """Array of candidates (s, k, e, base, strict, gaz, ctx, form) of the column ``_t``; k is the kind's number from 0."""
     plain = f"translate(_t, '{_M}', '{_N}')"
     dots = f"regexp_replace(x, {_lit('(?<=[A-Za-z0-9-])[.](?=[A-Za-z0-9-])')}, '{_M}')"
     gaps = f"regexp_replace(x, {_lit('(?<=[0-9])[ -](?=[0-9])')}, '{_M}')"
     none = "CAST(array() AS array<struct<s:int,e:int,m:string>>)"
     local = f"A-Za-z0-9._%+{_M}-"
     email = _matches("y", f"(?:\\G|(?<![{local}]))[{local}]++@[A-Za-z0-9-]++{_M}[A-Za-z0-9{_M}-]++")
+    at, dot = r"(?: ?[\[(](?i:at)[\])] ?| (?i:at) )", r"(?: ?[\[(](?i:dot)[\])] ?| (?i:dot) )"
+    spelled = _matches("x", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{at}[A-Za-z0-9-]{{1,63}}(?:(?:{dot}|[.])[A-Za-z0-9-]{{2,63}}){{1,4}}")
     ip = _matches("x", r"(?<![0-9])[0-9]++[.][0-9]++[.][0-9]++[.][0-9]++")
+    groups = _matches("x", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
     card = _matches("y", f"[0-9][0-9{_M}]++")
+    dotted = _matches("x", r"(?<![0-9./])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./])")
     phone = _matches("x", r"[+][0-9][ ().0-9-]+[0-9]")
-    bare = _matches("x", r"(?<![0-9+.()-])(?<![+0-9][ .-])[(]?[0-9]{3}[)]?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
-
-    def shaped(found: str, kind: str, base: str, gaz: str, form: str) -> str:
+    bare = _matches("x", r"(?<![0-9+.()-])(?<![+0-9][ .-])(?:[(][0-9]{3}[)]|[1-9][0-9]{2})[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
+    inland = _matches("x", r"(?<![0-9+.()-])(?<![+0-9][ .-])0[0-9]{1,5}[ /.-][0-9]{2,8}(?:[ -][0-9]{2,6}){0,3}(?![0-9.-])")
+    secret = _matches("x", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+")
+    digits = "regexp_replace(c.m, '[^0-9]+', '')"
+    kind = "array<struct<s:int,k:int,e:int,base:boolean,strict:boolean,gaz:boolean,ctx:boolean,form:boolean>>"
+    void = f"CAST(array() AS {kind})"
+
+    def shaped(found: str, kind: str, base: str, strict: str, gaz: str, form: str) -> str:
         k = KINDS.index(kind)
-        before = "lower(substring(_t, greatest(c.s - 24, 0) + 1, least(c.s, 24)))"
-        return (
-            f"transform({found}, c -> struct(c.s AS s, {k} AS k, c.e AS e, {base} AS base, {gaz} AS gaz, "
-            f"{before} rlike {_lit(CONTEXT[kind])} AS ctx, {form} AS form))"
-        )
-
-    void = "CAST(array() AS array<struct<s:int,k:int,e:int,base:boolean,gaz:boolean,ctx:boolean,form:boolean>>)"
+        near = "lower(concat(substring(_t, greatest(c.s - 24, 0) + 1, least(c.s, 24)), ' ', substring(_t, c.e + 1, 16)))"
+        own = strict if strict != base else "b"
+        body = f"struct(c.s AS s, {k} AS k, c.e AS e, b AS base, {own} AS strict, {gaz} AS gaz, {near} rlike {_lit(CONTEXT[kind])} AS ctx, {form} AS form)"
+        return f"transform({found}, c -> {_let(base, 'b', body)})"
+
+    octets = r"forall(split(c.m, '[.]'), q -> length(ltrim('0', q)) < 4 AND CAST(concat('0', left(ltrim('0', q), 3)) AS INT) <= 255)"
+    luhn, dotted_luhn = (_let(f"translate(c.m, '{x}', '')", "d", _luhn("d")) for x in (_M, "./"))
+    lengths = f"length({digits})"
+    before = "lower(substring(_t, greatest(c.s - 24, 0) + 1, least(c.s, 24)))"
     parts = [
-        f"IF(instr(x, '@') = 0, {void}, {shaped(_let(dots, 'y', email), 'email', 'true', f'c.m rlike {_lit(f'{_M}(?:{DOMAINS})$')}', 'length(c.m) <= 64')})",
+        f"IF(instr(x, '@') = 0, {void}, {shaped(_let(dots, 'y', email), 'email', 'true', 'true', f'c.m rlike {_lit(f'{_M}(?:{DOMAINS})$')}', 'length(c.m) <= 64')})",
+        shaped(
+            f"IF(x rlike {_lit(SPELLED)}, {spelled}, {none})",
+            "email", "false", f"c.m rlike {_lit(f'{dot}(?:{DOMAINS})$')} OR c.m rlike {_lit('[(](?i:at)[)]')} OR instr(c.m, '[') > 0", f"c.m rlike {_lit(f'(?i)(?:dot[ )\\]]*|[.])(?:{DOMAINS})$')}", "length(c.m) <= 64",
+        ),
         shaped(
             f"IF(x rlike {_lit('[0-9][.][0-9]')}, {ip}, {none})",
-            "ip",
-            r"forall(split(c.m, '[.]'), q -> length(ltrim('0', q)) < 4 AND CAST(concat('0', left(ltrim('0', q), 3)) AS INT) <= 255)",
-            r"NOT c.m rlike '^(?:0|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.]'",
-            r"NOT c.m rlike '(?:^|[.])0[0-9]'",
+            "ip", octets, octets, r"NOT c.m rlike '^(?:0|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.]'", r"NOT c.m rlike '(?:^|[.])0[0-9]'",
+        ),
+        shaped(
+            f"IF(x rlike {_lit('[0-9A-Fa-f]:[0-9A-Fa-f:]')}, {groups}, {none})",
+            "ip", "false", "(size(split(c.m, ':')) = 8 OR instr(c.m, '::') > 0) AND c.m rlike '[0-9A-Fa-f]{3}'", r"c.m rlike '^(?i:2[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):'", r"c.m rlike '[0-9A-Fa-f]{3}'",
         ),
         shaped(
             f"filter({_let(gaps, 'y', card)}, c -> length(translate(c.m, '{_M}', '')) BETWEEN 14 AND 19)",
-            "card",
-            _let(f"translate(c.m, '{_M}', '')", "d", _luhn("d")),
-            f"c.m rlike {_lit(f'^(?:{CARD_PREFIXES})')}",
-            f"length(translate(c.m, '{_M}', '')) IN (15, 16)",
+            "card", luhn, luhn, f"c.m rlike {_lit(f'^(?:{CARD_PREFIXES})')}", f"length(translate(c.m, '{_M}', '')) IN (15, 16)",
         ),
+        shaped(f"IF(x rlike {_lit('[0-9]{4}[./][0-9]{4}')}, {dotted}, {none})", "card", "false", dotted_luhn, f"c.m rlike {_lit(f'^(?:{CARD_PREFIXES})')}", "true"),
         shaped(
-            f"IF(instr(x, '+') = 0, {none}, filter({phone}, c -> length(regexp_replace(c.m, '[^0-9]+', '')) BETWEEN 10 AND 15))",
-            "phone", "true", r"c.m rlike '^[+](?:1[ .(-]|[2-9])'", r"c.m rlike '[0-9]{3}[ .-][0-9]{4}$'",
+            f"IF(instr(x, '+') = 0, {none}, filter({phone}, c -> {lengths} BETWEEN 10 AND 15))",
+            "phone", "true", "true", r"c.m rlike '^[+](?:1[ .(-]|[2-9])'", r"c.m rlike '[0-9]{3}[ .-][0-9]{4}$'",
+        ),
+        shaped(bare, "phone", "false", r"c.m rlike '^[(][0-9]{3}[)]'", r"c.m rlike '^[(]?[2-9]'", r"c.m rlike '[0-9]{3}-[0-9]{4}$'"),
+        shaped(f"filter({inland}, c -> {lengths} BETWEEN 9 AND 14)", "phone", "false", f"{lengths} BETWEEN 10 AND 12", r"c.m rlike '^0(?:0[1-9]|[1-9])'", r"c.m rlike '[/ -]'"),
+        shaped(
+            f"IF(x rlike {_lit('[A-Za-z0-9_+/-]{20}')}, filter({secret}, c -> c.m rlike '[0-9]' AND c.m rlike '[A-Za-z]'), {none})",
+            "secret", "false", f"{before} rlike {_lit(ASSIGNED)}",
+            f"c.m rlike {_lit(f'^(?:{KEY_PREFIXES})')} OR (length(c.m) IN {KEY_LENGTHS} AND c.m rlike '^[0-9A-Fa-f]+$')", "NOT c.m rlike '[/_-]'",
         ),
-        shaped(bare, "phone", "false", r"c.m rlike '^[(]?[2-9]'", r"c.m rlike '[0-9]{3}-[0-9]{4}$'"),
     ]
     every = f"concat({', '.join(parts)})"
-    return F.expr(f"IF(_t rlike '[0-9@]', {_let(plain, 'x', f'sort_array({every})')}, {void})")
+    return F.expr(f"IF(_t rlike {_lit('[0-9@]|' + SPELLED)}, {_let(plain, 'x', f'sort_array({every})')}, {void})")
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[int, tuple[bool, ...], bool, int]]:
-    """(kind, votes, form, count) of all candidates: at most 64 rows."""
+    """(kind, votes, form, count) of all candidates: at most 80 rows."""
     own = docs.select(text_of(text_col).alias("_t")).select(F.explode(_candidates()).alias("c"))
-    rows = own.groupBy("c.k", "c.base", "c.gaz", "c.ctx", "c.form").count().collect()
-    return sorted((r["k"], (r["base"], r["gaz"], r["ctx"]), r["form"], r["count"]) for r in rows)
+    rows = own.groupBy("c.k", "c.strict", "c.gaz", "c.ctx", "c.form").count().collect()
+    return sorted((r["k"], (r["strict"], r["gaz"], r["ctx"]), r["form"], r["count"]) for r in rows)
 
 
 def estimate(counts, rounds: int = ROUNDS) -> dict[int, tuple[float, list[tuple[float, float]]]]:
@@ -175,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, list[float]]:
 def _accepted(weights: dict[int, list[float]]) -> Column:
     """The candidates of ``_c`` that are base spans or that the classifier accepts, without repeats."""
     def score(w):
-        return " + ".join([f"{w[0]:.12g}D", *[f"{x:.12g}D * CAST(c.{n} AS INT)" for x, n in zip(w[1:], ("base", "gaz", "ctx", "form"), strict=True)]])
+        return " + ".join([f"{w[0]:.12g}D", *[f"{x:.12g}D * CAST(c.{n} AS INT)" for x, n in zip(w[1:], ("strict", "gaz", "ctx", "form"), strict=True)]])
 
     cases = " ".join(f"WHEN {k} THEN {score(w)}" for k, w in sorted(weights.items()))
     edge = math.log(ACCEPT / (1 - ACCEPT))
@@ -194,7 +236,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.withColumn("_a", _accepted(weights)).withColumn("_b", F.expr("filter(_c, c -> c.base)"))
     return own.select(
         "doc_id",
-        *[F.expr(f"CAST(size(filter(_b, c -> c.k = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        *[F.expr(f"CAST(size(filter(_b, c -> c.k = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)],
         F.sha2(F.expr(_named("_b")), 256).alias("base_sha256"),
         F.expr(_named("_a")).alias("spans"),
     )
@@ -207,12 +249,12 @@ def mask_text(docs: DataFrame, text_col: str = "text", weights: dict[int, list[f
     own = docs.select(text_of(text_col).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     own = own.withColumn("_c", _candidates()).withColumn("_a", _accepted(weights))
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    zero = "struct(0 AS at, CAST(array() AS array<string>) AS done)"
+    reached = f"coalesce(array_max(transform(slice(_a, 1, b * {BLOCK}), c -> c.e)), 0)"
+    zero = f"struct({reached} AS at, CAST(array() AS array<string>) AS done)"
     piece = f"IF(c.s >= a.at, array(substring(_t, a.at + 1, c.s - a.at), element_at(array({kinds}), c.k + 1)), CAST(array() AS array<string>))"
-    masked = (
-        f"CASE WHEN size(_a) = 0 THEN _t ELSE aggregate(_a, {zero}, (a, c) -> struct(greatest(a.at, c.e) AS at, concat(a.done, {piece}) AS done), "
-        "a -> concat(array_join(a.done, ''), substring(_t, a.at + 1, length(_t)))) END"
-    )
+    block = f"aggregate(slice(_a, b * {BLOCK} + 1, {BLOCK}), {zero}, (a, c) -> struct(greatest(a.at, c.e) AS at, concat(a.done, {piece}) AS done), a -> array_join(a.done, ''))"
+    rest = "substring(_t, array_max(transform(_a, c -> c.e)) + 1, length(_t))"
+    masked = f"CASE WHEN size(_a) = 0 THEN _t ELSE concat(array_join(transform(sequence(0, (size(_a) - 1) div {BLOCK}), b -> {block}), ''), {rest}) END"
     own = own.withColumn("_masked", F.expr(masked))
     return own.select(*[F.when(F.col(f"_row.`{c}`").isNull(), F.lit(None)).otherwise(F.col("_masked")).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in names])
 
