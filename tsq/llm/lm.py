@@ -1,16 +1,16 @@
 """Language-model scoring by subword lattice likelihood.
 
-The vocabulary is that of an existing tokenizer file (``vocabulary`` is its path; it is never trained or extended). Its
-piece scores, which are ranks, give the first weights (a weight falls with the rank); expectation
-maximisation over all distinct training words then fits the weights: every segmentation of a word into pieces counts by its
-probability. The score of a text is the base-10 logarithm of its marginal probability: per word the forward recursion in
-log space over all segmentations of the word with its leading word mark, plus the end. Characters without a piece take
-their byte pieces. A word seen in training has one more edge, the whole word, weighed by its discounted count; the
-discounts' mass goes to the lattice of pieces, which is fitted on distinct words for that reason, so the sum over all
-words stays one.
-
-The base model is a smoothed word count model. Counts cover all training texts; the ``TOP`` most frequent words (a
-bounded table) are broadcast, every other word is looked up by a join, so no count is left out.
+The vocabulary is that of an existing tokenizer file (``vocabulary`` is its path); its pieces are never trained or extended.
+A text is a sequence of pieces and an end, each drawn from one distribution, and its score is the base-10 logarithm of its
+marginal probability: per word the forward recursion in log space over all segmentations of the word with its leading word
+mark, plus the end. Characters without a piece take their byte pieces.
+
+The scores in the file are ranks, not probabilities. A piece of rank r therefore starts with weight 1 / (r + 2.7), byte
+pieces with that of the last rank; expectation maximisation over all training words then fits the weights: every
+segmentation of a word counts by its probability and the word's occurrences.
+
+The base model is a smoothed word count model. Counts cover all training texts; the ``TOP`` most frequent words of at most
+``TOP_BYTES`` bytes (a bounded table) are broadcast, every other word is looked up by a join, so no count is left out.
 
 Defined results: a null or empty text is just its end; null ids are training rows; repeated rows count each time; with no
 training row the weights are the first ones, N and V are 0; an empty table gives no rows; other columns are ignored.
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.common import read_documents, stage_table, text_of
+from tsq.llm.common import drop_table, read_documents, stage_table, text_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1_000_000
 ROUNDS = 3
-DISCOUNT = 0.75
 SMOOTH = 0.05
 TOP = 100_000
+TOP_BYTES = 64
 MAX_CACHE = 300_000
 MARK = "▁"
 END = "</s>"
@@ -48,39 +48,28 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class Lattice:
-    """Log weights of the pieces by role, and the recursions over a word's segmentations.
-
-    A piece's weight depends on whether it opens the word and whether it closes it: the pieces that open a word share
-    one distribution over (piece, closes), the others a second one, so the model sums to one over all words and a
-    word's end is learned with its last piece. Names are the role's digit (2 * later + closes) and the piece.
-    """
+    """Log weights of the pieces, and the recursions over a word's segmentations."""
 
     def __init__(self, weights: dict[str, float]):
         self.end = weights[END]
-        self.roles = [{k[1:]: v for k, v in weights.items() if k[0] == r} for r in "0123"]
+        self.log = {k: v for k, v in weights.items() if k != END}
         self.reach: dict[str, int] = {}
-        for piece in {*self.roles[0], *self.roles[2]}:
+        for piece in self.log:
             if not piece.startswith("<0x"):
                 self.reach[piece[0]] = max(self.reach.get(piece[0], 0), len(piece))
 
-    def edges(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """By end position: (start, log weight, name); a character without a piece is one edge of its bytes."""
+    def edges(self, word: str) -> list[list[tuple[int, float, list[str]]]]:
+        """By end position: (start, log weight, pieces); a character without a piece is one edge of its bytes."""
         n = len(word)
-        into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+        into: list[list[tuple[int, float, list[str]]]] = [[] for _ in range(n + 1)]
         for i, c in enumerate(word):
-            alone = False
-            role = 2 if i else 0
-            weigh, last = self.roles[role], min(n, i + self.reach.get(c, 0))
-            for j in range(i + 1, last + 1):
-                piece = word[i:j]
-                w = weigh.get(piece)
+            for j in range(i + 1, min(n, i + self.reach.get(c, 0)) + 1):
+                w = self.log.get(word[i:j])
                 if w is not None:
-                    closes = j == n
-                    into[j].append((i, self.roles[role + 1][piece] if closes else w, f"{role + closes}{piece}"))
-                    alone = alone or j == i + 1
-            if not alone:
-                names = byte_names(c, role, i + 1 == n)
-                into[i + 1].append((i, sum(self.roles[int(x[0])].get(x[1:], -30.0) for x in names), c))
+                    into[j].append((i, w, [word[i:j]]))
+            if c not in self.log:
+                names = [f"<0x{b:02X}>" for b in c.encode()]
+                into[i + 1].append((i, sum(self.log.get(x, -30.0) for x in names), names))
         return into
 
     def forward(self, word: str, into=None) -> list[float]:
@@ -88,11 +77,8 @@ class Lattice:
         alpha = [0.0]
         for j in range(1, len(word) + 1):
             terms = [alpha[i] + w for i, w, _ in into[j]]
-            if len(terms) == 1:
-                alpha.append(terms[0])
-            else:
-                top = max(terms)
-                alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+            top = max(terms)
+            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
         return alpha
 
     def log_prob(self, word: str) -> float:
@@ -107,28 +93,19 @@ class Lattice:
         beta = [-math.inf] * n + [0.0]
         for j in range(n, 0, -1):
             after = beta[j]
-            for i, w, name in into[j]:
+            for i, w, names in into[j]:
                 here = w + after
                 p = math.exp(alpha[i] + here - total) * times
-                for x in (name,) if len(name) > 1 else byte_names(name, 2 if i else 0, j == n):
+                for x in names:
                     into_counts[x] = into_counts.get(x, 0.0) + p
                 old = beta[i]
                 beta[i] = here if old == -math.inf else max(old, here) + math.log1p(math.exp(-abs(old - here)))
 
 
-def byte_names(c: str, role: int, closes: bool) -> list[str]:
-    """The byte pieces of a character in their roles."""
-    raw = c.encode()
-    return [f"{(role if k == 0 else 2) + (closes and k == len(raw) - 1)}<0x{b:02X}>" for k, b in enumerate(raw)]
-
-
-def normalised(raw: dict[str, float], ends: float, texts_tokens: float) -> dict[str, float]:
-    """Logarithms of weights given by name, each of the two distributions summing to one, and the end's share of tokens."""
-    sums = [sum(v for k, v in raw.items() if k[0] in pair) for pair in ("01", "23")]
-    out = {k: math.log(v / sums[k[0] in "23"]) for k, v in raw.items()}
-    share = ends / texts_tokens
-    word = math.log1p(-share)
-    return {k: v + word if k[0] in "01" else v for k, v in out.items()} | {END: math.log(share)}
+def normalised(raw: dict[str, float], ends: float) -> dict[str, float]:
+    """Logarithms of the shares of the pieces' weights and of the end's."""
+    total = sum(raw.values()) + ends
+    return {k: math.log(v / total) for k, v in raw.items()} | {END: math.log(ends / total)}
 
 
 class Batch:
@@ -136,26 +113,27 @@ class Batch:
 
     LONGEST = 40
     BITS = 20
+    PREFIX_BITS = 22
 
     def __init__(self, weights: dict[str, float]):
         self.slow = Lattice(weights)
-        self.pieces = sorted({k[1:] for k in weights if k != END and not k[1:].startswith("<0x")})
-        self.width = max(map(len, self.pieces), default=1)
-        self.log = np.full((4, len(self.pieces) + 1), -np.inf)
-        at = {p: k for k, p in enumerate(self.pieces)}
-        for k, v in weights.items():
-            if k != END and k[1:] in at:
-                self.log[int(k[0]), at[k[1:]]] = v
+        self.pieces = sorted(k for k in weights if k != END and not k.startswith("<0x"))
+        self.log = np.array([*(weights[p] for p in self.pieces), -np.inf])
         self.keys = np.zeros(len(self.pieces) + 1, dtype=np.uint64)
+        begun = set()
         for k, p in enumerate(self.pieces):
             h = 0
-            for c in p:
+            for i, c in enumerate(p):
                 h = (h * _BASE + _code(ord(c))) & _ALL
+                if i < len(p) - 1:
+                    begun.add(h)
             self.keys[k] = h
+        self.begins = np.zeros(1 << self.PREFIX_BITS, dtype=bool)
+        self.begins[self._slot(np.array(list(begun), dtype=np.uint64), 0, self.PREFIX_BITS)] = True
         self.tables = []
         left = np.arange(len(self.pieces))
         for turn in range(6):
-            slot = self._slot(self.keys[left], turn)
+            slot = self._slot(self.keys[left], turn, self.BITS)
             table = np.full(1 << self.BITS, len(self.pieces), dtype=np.int64)
             table[slot] = left
             self.tables.append(table)
@@ -163,15 +141,16 @@ class Batch:
             if not len(left):
                 break
 
-    def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
-        return ((h * np.uint64(0xD6E8FEB86659FD93 + 2 * turn)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+    @staticmethod
+    def _slot(h: np.ndarray, turn: int, bits: int) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93 + 2 * turn)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers by hash, the number of pieces where there is none."""
         none = len(self.pieces)
         out = np.full(len(h), none)
         for turn, table in enumerate(self.tables):
-            k = table[self._slot(h, turn)]
+            k = table[self._slot(h, turn, self.BITS)]
             hit = (k < none) & (self.keys[k] == h)
             out[hit] = k[hit]
         return out
@@ -180,27 +159,33 @@ class Batch:
         """Log probabilities; with ``counts`` the expected piece counts are added to ``sums`` by name."""
         out = np.zeros(len(words))
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        total = np.zeros_like(self.log) if counts is not None else None
+        total = np.zeros(len(self.log)) if counts is not None else None
         slow = np.flatnonzero(size > self.LONGEST).tolist()
         for n in np.unique(size[size <= self.LONGEST]).tolist():
             which = np.flatnonzero(size == n)
             codes = np.frombuffer("".join([MARK + words[k] for k in which.tolist()]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
-            m = _code(codes.astype(np.uint64))
+            m = np.ascontiguousarray(_code(codes.astype(np.uint64)).T)
             edges, plain = [], np.ones(len(which), dtype=bool)
             alpha = np.full((n + 1, len(which)), -np.inf)
             alpha[0] = 0.0
             for i in range(n):
-                h = np.zeros(len(which), dtype=np.uint64)
-                for j in range(i + 1, min(n, i + self.width) + 1):
-                    h = h * np.uint64(_BASE) + m[:, j - 1]
+                live, h = np.arange(len(which)), np.zeros(len(which), dtype=np.uint64)
+                for j in range(i + 1, n + 1):
+                    h = h * np.uint64(_BASE) + m[j - 1, live]
                     piece = self.find(h)
-                    w = self.log[(2 if i else 0) + (j == n)][piece]
-                    rows = np.flatnonzero(w > -np.inf)
+                    w = self.log[piece]
+                    hit = w > -np.inf
                     if j == i + 1:
-                        plain[np.flatnonzero(w == -np.inf)] = False
+                        plain[live[~hit]] = False
+                    rows = live[hit]
                     if len(rows):
-                        edges.append((i, j, rows, piece[rows], w[rows]))
-                        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + w[rows])
+                        edges.append((i, j, rows, piece[hit], w[hit]))
+                        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + w[hit])
+                    # words in which no longer piece starts here fall away
+                    on = self.begins[self._slot(h, 0, self.PREFIX_BITS)]
+                    live, h = live[on], h[on]
+                    if not len(live):
+                        break
             out[which] = alpha[n]
             slow += which[~plain].tolist()
             if counts is None:
@@ -211,8 +196,7 @@ class Batch:
             for i, j, rows, piece, w in reversed(edges):
                 here = w + beta[j, rows]
                 p = np.exp(alpha[i, rows] + here - np.where(plain[rows], alpha[n, rows], np.inf)) * times[rows]
-                role = (2 if i else 0) + (j == n)
-                total[role] += np.bincount(piece, weights=p, minlength=total.shape[1])
+                total += np.bincount(piece, weights=p, minlength=len(total))
                 beta[i, rows] = np.logaddexp(beta[i, rows], here)
         for k in slow:
             if counts is None:
@@ -220,10 +204,8 @@ class Batch:
             else:
                 self.slow.expect(words[k], float(counts[k]), sums)
         if counts is not None:
-            for role in range(4):
-                for k in np.flatnonzero(total[role]).tolist():
-                    name = f"{role}{self.pieces[k]}"
-                    sums[name] = sums.get(name, 0.0) + float(total[role, k])
+            for k in np.flatnonzero(total).tolist():
+                sums[self.pieces[k]] = sums.get(self.pieces[k], 0.0) + float(total[k])
         return out
 
 
@@ -239,7 +221,7 @@ def _code(c):
 
 
 def read_pieces(path: str) -> dict[str, float]:
-    """First weights of the pieces of a vocabulary file by role, from the ranks that its scores are."""
+    """First weights of the pieces of a vocabulary file, from the ranks that its scores are."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -252,11 +234,8 @@ def read_pieces(path: str) -> dict[str, float]:
             continue
         piece = sp.id_to_piece(i)
         rank = size if sp.is_byte(i) else min(size, max(0.0, -sp.get_score(i)))
-        opens = piece.startswith(MARK)
-        if MARK in piece[1:]:
-            continue  # white space inside words does not occur
-        for role in ("01" if opens else "23"):
-            raw[role + piece] = 1 / (rank + 2.7)
+        if MARK not in piece[1:]:  # white space inside words does not occur
+            raw[piece] = 1 / (rank + 2.7)
     return raw
 
 
@@ -284,9 +263,9 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_weights(counts: DataFrame, ends: int, tokens: int, first: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
-    """EM over the distinct training words, each once; only sums by piece, whose number is fixed, come to the driver."""
-    weights = normalised(first, ends + 0.5, tokens + 1.0)
+def fit_weights(counts: DataFrame, ends: int, first: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
+    """EM over the training words and their counts; only sums by piece, whose number is fixed, come to the driver."""
+    weights = normalised(first, 0.5)
     if not ends:
         return weights
     context = counts.sparkSession.sparkContext
@@ -297,12 +276,12 @@ def fit_weights(counts: DataFrame, ends: int, tokens: int, first: dict[str, floa
             lattice, sums = Batch(held.value), {}
             for batch in batches:
                 words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-                lattice.run(words, np.ones(len(words)), sums)
+                lattice.run(words, batch.column(1).to_numpy().astype(float), sums)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["piece", "e"])
 
-        got = counts.select("word").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
+        got = counts.select("word", "c").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
         expected = dict(zip(got["piece"], got["e"], strict=True))
-        weights = normalised({k: expected.get(k, 0.0) + SMOOTH for k in first}, ends + 0.5, tokens + 1.0)
+        weights = normalised({k: expected.get(k, 0.0) + SMOOTH for k in first}, ends + 0.5)
     return weights
 
 
@@ -356,16 +335,16 @@ def score_texts(
     ends = docs.select(_held_out(id_col, folds).alias("h")).where(~F.col("h")).count()
     n, v = total + ends, kinds + (1 if ends else 0)
     scale = n + 0.1 * (v + 1)
-    share = DISCOUNT * kinds / total if total else 1.0
-    weights = context.broadcast(fit_weights(counts, ends, n, read_pieces(vocabulary), rounds))
+    weights = context.broadcast(fit_weights(counts, ends, read_pieces(vocabulary), rounds))
     spelled = stage_table(spell(counts, weights), "spelled")
-    edge = often_edge(spelled, top)
-    often = spelled.where(F.col("c") >= edge).orderBy("word").toPandas() if edge else None
-    one = math.log1p(-((ends + 0.5) / (n + 1.0)))
+    drop_table(counts)
+    short = F.length("word") <= TOP_BYTES
+    edge = often_edge(spelled.where(short), top)
+    often = spelled.where(short & (F.col("c") >= edge)).orderBy("word").toPandas() if edge else None
     held: tuple = ({}, np.zeros(1), np.zeros(1))
     if often is not None:
         c = often["c"].to_numpy(dtype=float)
-        model = one + np.log((c - DISCOUNT) / total + share * np.exp(often["s"].to_numpy() - one))
+        model = often["s"].to_numpy(dtype=float)
         held = ({bytes(w): k for k, w in enumerate(often["word"])}, np.append(np.log10((c + 0.1) / scale), 0.0), np.append(model, 0.0))
     known = context.broadcast(held)
     end = weights.value[END]
@@ -403,16 +382,13 @@ def score_texts(
     schema = "row long, doc_id long, held_out boolean, n_words long, score double, base double, known long, rare array<binary>, times array<int>"
     scored = stage_table(own.mapInArrow(run, schema), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    seldom = spelled.where(F.col("c") < edge) if edge else spelled
+    seldom = spelled.where(~short | (F.col("c") < edge)) if edge else spelled
     joined = spell(rest.join(seldom, "word", "left").select("word", "c", "s", "row", "k"), weights)
     c = F.coalesce(F.col("c"), F.lit(0))
-    own_edge = F.greatest(c - DISCOUNT, F.lit(0.0)) / max(total, 1)
-    # without an edge of its own a word stays in log space
-    log_word = F.when(c > 0, F.log(own_edge + F.exp(F.col("s") - one) * share)).otherwise(F.col("s") - one + math.log(share)) + one
     looked = joined.groupBy("row").agg(
         F.sum(F.col("k") * F.log10((c + 0.1) / scale)).alias("b"),
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f"),
-        F.sum(F.col("k") * log_word / LN10).alias("m"),
+        F.sum(F.col("k") * F.col("s") / LN10).alias("m"),
     )
     end_base = math.log10((ends + 0.1) / scale)
     return scored.drop("rare", "times").join(looked, "row", "left").select(
