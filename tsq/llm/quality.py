@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Every rule is a predicate that rejects a document. The cost (seconds a row) and the selectivity (share rejected)
-of each rule are estimated on a bounded sample; the rules then run in order of rejection per cost, inside one
-nested CASE, so a document pays for the rules up to the first that rejects it. The order never changes a verdict.
+Every rule is a predicate that rejects a document, the base's two among them. The cost (seconds a row) and the selectivity
+(share rejected) of each rule are estimated on a bounded sample, one timed pass a rule; the rules then run in order of
+rejection per cost, inside one nested CASE, and each computes only the counts that it needs, so a document pays for the
+rules up to the first that rejects it. The order never changes a verdict.
 
 Repeated 3-word windows are found in one row: each window's hash and position are packed into a long, the longs
 are sorted, and equal neighbours mark repeats; should two different windows share the packed hash bits, or the text
@@ -15,6 +16,7 @@ row by row; an empty table gives no rows; other input columns are kept by :func:
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,19 +27,21 @@ from pyspark.sql import functions as F
 from tsq.llm.common import WORD, read_documents, text_of
 
 POS_BITS = 24
-SAMPLE_ROWS = 200
+SAMPLE_ROWS = 1000
+SAMPLE_SHARE = 16
 SAMPLE_CHARS = 200_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` is a boolean SQL expression over the text column ``_t`` and the base counts."""
+    """``reject`` is a boolean SQL expression over the text column ``_t`` and the counts of :data:`COUNTS`."""
 
     name: str
     reject: str
 
 
-#: The rules after the base. Counts refer to the columns of :func:`base_counts`.
+#: The base's rules, then the others.
+BASE: tuple[Rule, ...] = (Rule("short", "n_words < 50"), Rule("repeats", "100 * n_repeat_words > 50 * n_words"))
 RULES: tuple[Rule, ...] = (
     Rule("symbols", "n_symbols * 10 > n_words"),
     Rule("duplicate_lines", "n_dup_lines * 2 > n_lines"),
@@ -58,7 +62,7 @@ def _covered(same: str) -> str:
     return f"filter(p, (x, j) -> {hit})"
 
 
-def repeat_words_expr(words: str) -> Column:
+def repeat_words_sql(words: str) -> str:
     """Number of words in 3-word windows that occur twice or more among the array column ``words``."""
     mask = (1 << POS_BITS) - 1
     packed = f"sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {~mask}L) | i))"
@@ -77,79 +81,82 @@ def repeat_words_expr(words: str) -> Column:
         _let(hits, "h", f"CASE WHEN size(h) = 0 THEN 0 WHEN {_let('h', 'p', clash)} THEN -1 ELSE {count} END"),
     )
     body = f"CASE WHEN size(w) < 3 THEN 0 WHEN size(w) > {mask} THEN {slow} ELSE {_let(fast, 'c', f'CASE WHEN c >= 0 THEN c ELSE {slow} END')} END"
-    return F.expr(f"CAST({_let(words, 'w', body)} AS BIGINT)")
+    return f"CAST({_let(words, 'w', body)} AS BIGINT)"
+
+
+_WORDS = f"regexp_extract_all(_t, r'{WORD}', 0)"
+_LINES = rf"filter(split(_t, '\\n'), q -> q rlike r'{WORD}')"
+#: Counts by name as SQL over ``_t``; the lines' ones stand for each other's cost.
+COUNTS = {
+    "n_words": f"CAST(regexp_count(_t, r'{WORD}') AS BIGINT)",
+    "word_chars": r"CAST(length(regexp_replace(_t, r'[\x20\x09-\x0D]+', '')) AS BIGINT)",
+    "n_symbols": "CAST(length(regexp_replace(_t, r'[^#*$%&|<>]+', '')) AS BIGINT)",
+    "n_lines": f"CAST(size({_LINES}) AS BIGINT)",
+    "n_dup_lines": f"CAST({_let(_LINES, 'ls', 'size(ls) - size(array_distinct(ls))')} AS BIGINT)",
+    "n_repeat_words": repeat_words_sql(_WORDS),
+}
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds the base counts and ``base_failed`` to rows with the text column ``_t``."""
-    return (
-        docs.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
-        .withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
-        .withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("n_lines", F.size("_l").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .withColumn("n_repeat_words", repeat_words_expr("_w"))
-        .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-        .drop("_w", "_l")
-    )
+    """Adds the counts and ``base_failed`` to rows with the text column ``_t``."""
+    return docs.withColumns({k: F.expr(v) for k, v in COUNTS.items()}).withColumn("base_failed", F.expr(" OR ".join(r.reject for r in BASE)))
+
 
+def _lazy(body: str) -> str:
+    """SQL of ``body`` with its counts worked out where they stand, but for the number of words, which is bound once."""
+    names = "|".join(k for k in COUNTS if k != "n_words")
+    return _let(COUNTS["n_words"], "n_words", re.sub(rf"\b({names})\b", lambda m: f"({COUNTS[m[1]]})", body))
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = BASE + RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by falling rejection per cost, measured on at most ``sample_rows`` texts of at most ``SAMPLE_CHARS``.
 
-    Only the order depends on the sample, which is read from as few partitions as hold it. A rule's cost is the time of
-    a pass over the sample with it, less that of a pass without; ties keep the given order.
+    The sample holds the first texts whose hash modulo ``SAMPLE_SHARE`` is 0, read from as few partitions as hold them; only
+    the order depends on it. A rule's cost is the time of a pass over the sample with it, less that of an empty pass; ties
+    keep the given order.
     """
-    taken = docs.where(F.length("_t") <= SAMPLE_CHARS).select("_t").take(sample_rows)
-    sample = base_counts(docs.sparkSession.createDataFrame([(r["_t"],) for r in taken], "_t string")).where(~F.col("base_failed")).persist()
+    chosen = (F.length("_t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("_t"), F.lit(SAMPLE_SHARE)) == 0)
+    taken = docs.where(chosen).select("_t").take(sample_rows)
+    sample = docs.sparkSession.createDataFrame([(r["_t"],) for r in taken], "_t string").coalesce(1).persist()
     try:
         def timed(expr: str) -> tuple[float, float]:
-            best, share = float("inf"), 0.0
-            for _ in range(2):
-                began = time.perf_counter()
-                share = sample.agg(F.avg(F.expr(f"CAST({expr} AS INT)")).alias("r")).first()["r"] or 0.0
-                best = min(best, time.perf_counter() - began)
-            return best, share
+            began = time.perf_counter()
+            share = sample.agg(F.avg(F.expr(f"CAST({expr} AS INT)")).alias("r")).first()["r"] or 0.0
+            return time.perf_counter() - began, share
 
         timed("true")
-        floor = timed("false")[0]
+        floor = min(timed("false")[0] for _ in range(2))
         gain = {}
         for rule in rules:
-            cost, share = timed(rule.reject)
+            cost, share = timed(_lazy(rule.reject))
             gain[rule.name] = share / max(cost - floor, 1e-4)
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def cascade(rules: Sequence[Rule]) -> Column:
-    """The first rule in the given order that rejects, or null; later rules are not evaluated."""
-    out = F.when(F.col("base_failed"), F.lit("base"))
-    for rule in rules:
-        out = out.when(F.expr(rule.reject), F.lit(rule.name))
-    return out
+def cascade(rules: Sequence[Rule]) -> str:
+    """SQL of the first rule in the given order that rejects, or null; later rules are not evaluated."""
+    return "CASE " + " ".join(f"WHEN {r.reject} THEN '{r.name}'" for r in rules) + " END"
 
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per document with the base counts, ``base_failed``, ``rejected_by`` and ``kept``."""
+    """One row per document with the base counts, ``base_failed``, ``rejected_by`` and ``kept``.
+
+    The counts are asked for by row, so the base is judged on them and only the other rules are ordered.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    ordered = order_rules(own, rules)
-    return (
-        base_counts(own)
-        .withColumn("rejected_by", cascade(ordered))
-        .withColumn("kept", F.col("rejected_by").isNull())
-        .drop("_t")
-    )
+    base = base_counts(own)
+    rejected = F.when(F.col("base_failed"), F.lit("base")).otherwise(F.expr(cascade(order_rules(own, rules))))
+    return base.withColumn("rejected_by", rejected).withColumn("kept", F.col("rejected_by").isNull()).drop("_t")
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that pass, with all their columns."""
+def filter_quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE + RULES) -> DataFrame:
+    """The documents that pass, with all their columns; no rule's counts are worked out before it is its turn."""
     names = docs.columns
     own = docs.select(text_of(text_col).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     ordered = order_rules(own.select("_t"), rules)
-    return base_counts(own).where(cascade(ordered).isNull()).select("_row.*")
+    return own.where(F.expr(_lazy(cascade(ordered))).isNull()).select("_row.*")
 
 
 def op6_quality_rules(spark, sf_dir):
