@@ -3,12 +3,16 @@
 A text's UTF-8 bytes are cut where the gear hash of the last 16 bytes has ``mask_bits`` zero bits, so cuts depend on
 nearby content alone and an insertion moves only the chunks it touches. Stretches without a cut are cut every
 ``max_chunk`` bytes. Chunks are compared by a 128-bit digest over all documents; the first occurrence (smallest id, then
-row, then place) owns a digest. A maximal run of neighbouring repeated chunks counts when it has at least ``min_run``
-bytes, or is the whole text, and so does the stretch of it that earlier occurrences own: single short chunks repeat by
-chance in clean text and are left alone.
+hash of the text, then place) owns a digest. A maximal run of neighbouring repeated chunks is a repeat when it has at
+least ``min_run`` bytes, or is the whole text, and so is the stretch of it that earlier occurrences own. Shorter runs are
+counted apart and left in place: single chunks repeat by chance in clean text.
 
-Defined results: a null text is empty and has no chunks; rows with a null id come after all ids; repeated ids or rows
-are told apart by their own row number; a cut inside a character moves back to its start; an empty table gives no rows; other input columns are ignored.
+Digests of over ``1 / HOT`` of all repeated chunks, of which there are fewer than ``HOT``, are looked up from a broadcast
+table, so no hot chunk meets its owner in one task.
+
+Defined results: a null text is empty and has no chunks; rows with a null id come after all ids; unlike texts under one id
+are told apart by their hash, and of rows equal in id and text one, whichever, is first; a cut inside a character moves
+back to its start; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsq.llm.common import read_documents, stage_table, text_of
+from tsq.llm.common import drop_table, read_documents, stage_table, text_of
 from tsq.llm.kernels import mix, runs, text_buffer
 
 MASK_BITS = 5
 MAX_CHUNK = 256
 MIN_RUN = 48
 REACH = 16
+HOT = 1000
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -79,24 +84,24 @@ def chunks_of(column: pa.Array, mask_bits: int, max_chunk: int):
             yield first + void, zero, zero, zero, zero
 
 
-TABLE = "row long, doc_id long, start int, size int, hi long, lo long"
+TABLE = "row long, doc_id long, tag long, start int, size int, hi long, lo long"
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).alias("t"))
 
 
 def chunk_table(own: DataFrame, mask_bits: int = MASK_BITS, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """One row per chunk of ``(row, doc_id, t)``: its row's number, id, first byte in the row, size and digest."""
+    """One row per chunk of ``(row, doc_id, tag, t)``: its row's number, id and hash, first byte in the row, size and digest."""
 
     def run(batches):
         for batch in batches:
-            row, ids = batch.column(0), batch.column(1)
-            for doc, start, size, hi, lo in chunks_of(batch.column(2), mask_bits, max_chunk):
+            own = batch.columns[:3]
+            for doc, start, size, hi, lo in chunks_of(batch.column(3), mask_bits, max_chunk):
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(at), ids.take(at), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hi), pa.array(lo)],
-                    names=["row", "doc_id", "start", "size", "hi", "lo"],
+                    [*(c.take(at) for c in own), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hi), pa.array(lo)],
+                    names=["row", "doc_id", "tag", "start", "size", "hi", "lo"],
                 )
 
     return own.mapInArrow(run, TABLE)
@@ -109,13 +114,15 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     """
     # a count by half a digest finds every repeat, and the few strangers it lets through go at the full digest below
     often = table.where("size > 0").groupBy("lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lo")
-    hits = table.where("size > 0").join(often, "lo", "left_semi")
-    hits = stage_table(hits, "chunk-hits")
-    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row", "start")
+    hits = stage_table(table.where("size > 0").join(often, "lo", "left_semi"), "chunk-hits")
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tag", "row", "start")
     owners = hits.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    marked = hits.join(owners.select("hi", "lo", "first"), ["hi", "lo"]).select(
-        "row", "start", "size", (F.col("first") < place).alias("later")
-    )
+    owners = stage_table(owners, "owners")
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(owners.where(F.col("n") > max(total / HOT, HOT)).select("hi", "lo", "first"))
+    cold = owners.where(F.col("n") <= max(total / HOT, HOT)).select("hi", "lo", "first")
+    known = hits.join(hot, ["hi", "lo"]).unionByName(hits.join(hot.drop("first"), ["hi", "lo"], "left_anti").join(cold, ["hi", "lo"]))
+    marked = known.select("row", "start", "size", (F.col("first") < place).alias("later"))
     # the bytes up to a chunk's end that are not of its kind stay the same while neighbours follow each other
     end, until = F.col("start") + F.col("size"), (Window.unboundedPreceding, Window.currentRow)
     run = end - F.sum("size").over(Window.partitionBy("row").orderBy("start").rowsBetween(*until))
@@ -137,9 +144,9 @@ def dedup_chunks(
     min_run: int = MIN_RUN,
     keep_text: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_chunks, n_repeated, n_removed, repeated, removed``, sizes in bytes.
+    """One row per document: ``doc_id, n_bytes, n_chunks, n_repeated, n_removed, n_short, repeated, removed``, sizes in bytes.
 
-    ``repeated`` has the spans ``(start, end)``, in bytes of the UTF-8 text, of runs that also occur elsewhere, first
+    ``n_short`` counts the bytes of repeated runs under ``min_run``. ``repeated`` has the spans ``(start, end)``, in bytes of the UTF-8 text, of runs that also occur elsewhere, first
     occurrences included; ``removed`` those of their chunks that an earlier occurrence owns. Spans hold whole characters.
     ``keep_text`` adds ``kept``, the text without ``removed``; the texts are then written once, for both passes.
     """
@@ -162,14 +169,17 @@ def dedup_chunks(
             F.min("start").alias("start"),
             F.collect_list(F.when(F.col("later") & (F.col("bytes") >= long), span)).alias("removed"),
         )
-        .where(F.col("bytes") >= long)
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(span)).alias("repeated"), F.sort_array(F.flatten(F.collect_list("removed"))).alias("removed"))
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("bytes") >= long, span))).alias("repeated"),
+            F.sort_array(F.flatten(F.collect_list(F.when(F.col("bytes") >= long, F.col("removed"))))).alias("removed"),
+            F.sum(F.when(F.col("bytes") < long, F.col("bytes")).otherwise(0)).cast("long").alias("n_short"),
+        )
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    found = whole.join(spans, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("repeated", "removed")})
+    found = whole.join(spans, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("repeated", "removed")}).fillna(0, "n_short")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    names = ["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "repeated", "removed"]
+    names = ["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_short", "repeated", "removed"]
     found = found.withColumns({f"n_{c}": total(c) for c in ("repeated", "removed")})
     if not keep_text:
         return found.select(*names)
