@@ -12,7 +12,7 @@ bounded by ``MAX_VOCABULARY_BYTES``. Nothing is trained.
 
 Defined results: a null text is empty and has 0 tokens; null edits are none; edits apply in order, their places refer to
 the text as it then is and are clipped to it; repeated rows and null ids are counted row by row; an empty table gives
-no rows; :func:`build_trees` keeps all input columns and fails if one is already named like its own.
+no rows; other input columns are kept, but for those named like the operator's own, in any case, which it replaces.
 """
 
 from __future__ import annotations
@@ -167,13 +167,16 @@ def _with_columns(batch: pa.RecordBatch, arrays: list, names: list[str]) -> pa.R
     return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
 
+def _without(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
 def build_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with their trees: ``tree_chars`` and ``tree_tokens`` are heaps, entry 1 the document's total."""
     held = load_vocabulary(docs.sparkSession, vocabulary)
-    place = docs.columns.index(text_col)
     own = ["tree_chars", "tree_tokens", "n_pretokens"]
-    if clash := {c.lower() for c in docs.columns} & set(own):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    docs = _without(docs, own)
+    place = docs.columns.index(text_col)
 
     def run(batches):
         counts = counts_for(held)
@@ -192,6 +195,7 @@ def build_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCAB
 def apply_edits(trees: DataFrame, edits_col: str, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Applies ``edits_col`` (array of struct of start, end, put): new text and trees, and ``reencoded`` code points."""
     held = load_vocabulary(trees.sparkSession, vocabulary)
+    trees = _without(trees, ["reencoded"])
     names = trees.columns
     at = {c: names.index(c) for c in (text_col, edits_col, "tree_chars", "tree_tokens")}
 
