@@ -7,6 +7,10 @@ shares at least ``length + 1 - q * (edits + 1)`` character q-grams inside one di
 in overlapping bands of diagonals, bands below the bound are discarded, and the rest are verified by a banded
 edit-distance alignment with free ends in the document. The filter loses nothing.
 
+Hits are expanded for stretches of positions that have at most about ``HITS`` of them, each stretch overlapping the one
+before by more than a band's reach, so memory does not grow with a text's repetitions. In a text of several stretches a
+window that was found without edits is not looked for again: no later place can be better.
+
 The benchmark is the stated query set: it is read in blocks of at most ``block_chars`` characters, each block's index
 is broadcast under that bound, and every block is held against all documents, whole. Documents are never shuffled.
 
@@ -32,6 +36,7 @@ WINDOW = 64
 RATE = 0.06
 BAND = 16
 BLOCK_CHARS = 2_000_000
+HITS = 1_000_000
 
 _U = np.uint64
 _TABLE_BITS = 20
@@ -74,8 +79,8 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """Windows of one block of items and the postings of their q-grams."""
 
-    def __init__(self, items: list[tuple[object, str]], q: int = Q, window: int = WINDOW, rate: float = RATE):
-        self.q, self.ids, self.item, self.windows, self.edits = q, [i for i, _ in items], [], [], []
+    def __init__(self, items: list[tuple[object, str]], q: int = Q, window: int = WINDOW, rate: float = RATE, hits: int = HITS):
+        self.hits, self.q, self.ids, self.item, self.windows, self.edits = hits, q, [i for i, _ in items], [], [], []
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
             codes, _, _ = normalise(raw, np.array([0, len(raw)]))
@@ -111,7 +116,7 @@ class Index:
         return ((h * _U(0xD6E8FEB86659FD93)) >> _U(64 - _TABLE_BITS)).astype(np.int64)
 
     def search(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(doc, window, start, end, edits) of verified occurrences in normalised documents, one per band."""
+        """(doc, window, start, end, edits) of verified occurrences in normalised documents, by band; some come twice."""
         none = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
         h = gram_hashes(codes, self.q)
         pos = np.flatnonzero(self.table[self._slot(h)]) if len(h) and len(self.gram) else np.zeros(0, dtype=np.int64)
@@ -123,9 +128,51 @@ class Index:
         doc = np.searchsorted(bounds, pos, side="right") - 1
         whole = pos + self.q <= bounds[doc + 1]
         pos, g, doc = pos[whole], g[whole], doc[whole]
+        cost = np.concatenate([[0], np.cumsum(self.post[g + 1] - self.post[g])])
+        edge = np.searchsorted(pos, bounds)
+        found, k, n = [], 0, len(bounds) - 1
+        while k < n:
+            j = int(np.searchsorted(cost[edge], cost[edge[k]] + self.hits, side="right")) - 1
+            if j > k:
+                found.append(self._occurrences(codes, bounds, *(x[edge[k] : edge[j]] for x in (pos, g, doc))))
+            else:
+                j = k + 1
+                found += self._in_stretches(codes, bounds, *(x[edge[k] : edge[j]] for x in (pos, g, doc)))
+            k = j
+        found = [x for x in found if len(x[0])]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+
+    def _in_stretches(self, codes, bounds, pos, g, doc):
+        """The occurrences in one document, stretch by stretch."""
+        reach = int(self.sizes.max()) + BAND + 2 * int(self.edits.max()) + self.q
+        wanted = np.ones(len(self.post_window), dtype=bool)
+        open_ = np.ones(len(self.sizes), dtype=bool)
+        out, i = [], 0
+        while i < len(pos):
+            share = np.add.reduceat(wanted.astype(np.int64), self.post[:-1])[g[i:]]
+            if not share.any():
+                break
+            total = np.cumsum(share)
+            j = i + max(1, int(np.searchsorted(total, self.hits, side="right")))
+            # a stretch goes on beyond what the next one starts again with
+            j = max(j, int(np.searchsorted(pos, pos[i] + 2 * reach)))
+            hit = self._occurrences(codes, bounds, pos[i:j], g[i:j], doc[i:j], wanted)
+            out.append(hit)
+            done = hit[1][hit[4] == 0]
+            if len(done):
+                open_[done] = False
+                wanted = open_[self.post_window]
+            if j >= len(pos):
+                break
+            i = max(i + 1, int(np.searchsorted(pos, pos[j - 1] - reach)))
+        return out
+
+    def _occurrences(self, codes, bounds, pos, g, doc, wanted=None):
         many = self.post[g + 1] - self.post[g]
         rep = np.repeat(np.arange(len(pos)), many)
         p = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + self.post[g][rep]
+        if wanted is not None:
+            rep, p = rep[wanted[p]], p[wanted[p]]
         win, place = self.post_window[p], pos[rep]
         diag = place - self.post_at[p] - bounds[doc[rep]] + self.shift
         band = diag // BAND
@@ -142,7 +189,7 @@ class Index:
         count = np.diff(np.append(start, len(d)))
         keep = start[count >= self.bound[win[start]]]
         if not len(keep):
-            return none
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
         return self._verify(codes, bounds, d[keep], win[keep], (band[keep] * BAND) - self.shift)
 
     def _verify(self, codes, bounds, doc, win, diag):
