@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tsq.llm import chunks, classifier, decontam, lm, neardup, pii, suffix, tokens
 from tsq.llm.common import read_documents
@@ -147,8 +148,24 @@ def test_decontamination_equals_alignment(spark):
     index = decontam.Index(items)
     plain = lambda t: "".join(map(chr, decontam.normalise(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), np.array([0, len(t)]))[0]))
     want = {(k, int(i)) for k, t in made for i, w, e in zip(index.item, index.windows, index.edits, strict=True) if least_edits("".join(map(chr, w)), plain(t)) <= e}
-    found = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=150)
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+    docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_leaks(docs, bench, block_chars=150).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    # stretches of few hits give the same rows
+    assert sorted(decontam.find_leaks(docs, bench, block_chars=150, hits=40).collect()) == sorted(found)
+    assert decontam.find_leaks(docs, bench.where("false")).collect() == [] and decontam.drop_leaks(docs, bench.where("false")).count() == len(made)
+
+
+def test_long_runs_of_one_character(spark):
+    """A megabyte of one character against an item of it neither takes the memory of all hits nor long."""
+    import resource
+
+    index = decontam.Index([(1, "-" * 400), (2, "ab" * 200)])
+    codes = np.full(1_000_000, ord("-"), dtype=np.uint32)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    doc, win, start, end, edits = index.search(codes, np.array([0, len(codes)]))
+    assert set(index.item[win].tolist()) == {0} and (int(edits.min()), int(start[edits == 0].min())) == (0, 0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
 
 
 def removed(rows, length=100):
@@ -195,6 +212,49 @@ def test_chunk_dedup(spark):
     assert {*slow, len(data)} <= {*cuts.tolist()}
 
 
+@pytest.mark.parametrize("hot", [chunks.HOT, 1])
+def test_chunk_dedup_equals_brute_force(spark, hot, monkeypatch):
+    """Owners, runs, floors and counts of chunks against dictionaries; the file layout changes nothing."""
+    monkeypatch.setattr(chunks, "HOT", hot)
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage = [text(n) for n in (4, 9, 20, 60)]
+    rows = [(rng.randrange(30), text(rng.randrange(30)) + " " + rng.choice(passage) + " " + text(rng.randrange(30))) for _ in range(40)]
+    rows += [(None, rows[0][1]), (50, rows[1][1]), (51, ""), (52, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    tagged = [(r["doc_id"], r["tag"], (r["text"] or "").encode()) for r in df.collect()]
+    rank = lambda r: (2**63 - 1 if r[0] is None else r[0], r[1])
+    pieces, owner, often = {}, {}, Counter()
+    for k in sorted(range(len(tagged)), key=lambda k: rank(tagged[k])):
+        data = np.frombuffer(tagged[k][2], dtype=np.uint8)
+        cuts = chunks.cut_points(data, np.array([0, len(data)])).tolist() if len(data) else [0]
+        pieces[k] = [(a, b, tagged[k][2][a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for a, _, x in pieces[k]:
+            owner.setdefault(x, (k, a))
+            often[x] += 1
+    want = []
+    for k, (d, _, data) in enumerate(tagged):
+        run, total = [], Counter(n_chunks=len(pieces[k]))
+        for piece in [*pieces[k], None]:
+            if piece is not None and often[piece[2]] > 1:
+                run.append(piece)
+            elif run:
+                size, stretch = run[-1][1] - run[0][0], 0
+                long = min(chunks.MIN_RUN, len(data))
+                total["n_repeated" if size >= long else "n_short"] += size
+                for a, b, x in [*run, (0, 0, None)]:
+                    if x is not None and owner[x] != (k, a):
+                        stretch += b - a
+                    else:
+                        total["n_removed"] += stretch if size >= long and stretch >= long else 0
+                        stretch = 0
+                run = []
+        want.append((str(d), len(data), *(total[c] for c in ("n_chunks", "n_repeated", "n_removed", "n_short"))))
+    for parts in (1, 5):
+        got = chunks.dedup_chunks(df.select("doc_id", "text").repartition(parts)).collect()
+        assert sorted((str(r["doc_id"]), *r[1:6]) for r in got) == sorted(want)
+
+
 def test_chunk_spans_and_kept_text(spark):
     """Spans add up to the counts, removed bytes occur in an earlier text, and what is kept is the text without them."""
     rng = random.Random(6)
@@ -239,6 +299,21 @@ def test_token_counts(spark, docs, texts):
             assert (tree.tokens[1], tree.chars[1]) == (full(x), len(x))
 
 
+def test_edits_are_local(spark):
+    """A small edit encodes its leaf and the boundary anew, not the text."""
+    counts = tokens.Counts(open(tokens.VOCABULARY, "rb").read())
+    text = "some words of a long text and more of them " * 3000
+    tree, n = tokens.Tree.build(text, counts)
+    assert n > 20_000
+    for place in (0, 5000, 64_000, len(text) - 3):
+        text, again = tree.edit(text, place, place + 2, "xyz", counts)
+        assert 0 < again < 2000
+    df = spark.createDataFrame([(1, text, "x", "y", "z")], "doc_id long, text string, reencoded string, Tree_Chars string, more string")
+    edits = F.array(F.struct(F.lit(10).alias("start"), F.lit(12).alias("end"), F.lit("q").alias("put")))
+    row = tokens.apply_edits(tokens.build_trees(df).withColumn("edits", edits), "edits").first()
+    assert 0 < row["reencoded"] < 2000 and row["more"] == "z" and row["tree_chars"][1] == len(text) - 1
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -327,6 +402,54 @@ def test_classifier_held_out(spark):
     assert len(got) > 50 and (got["predicted"] == got["quality"]).mean() > 0.93
 
 
+def test_classifier_equals_plain_loops(spark):
+    """Features, updates and scores against a word-by-word version over dictionaries."""
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice(["good", "Prose", "spam!!", "buy", "now", "now", "é"]) for _ in range(rng.randrange(12))) for i in range(60)}
+    labels = [(i, i % 2) for i in range(0, 60, 1) if i % 5]
+    bits = 10
+    unit = lambda w: int(classifier.span_hashes(np.frombuffer(w, dtype=np.uint8), np.array([0]), np.array([len(w)]))[0])
+
+    def plain(text):
+        found = [m.encode() for m in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^A-Za-z0-9\u0080-\U0010ffff \t\n\v\f\r]+", text)]
+        h = [unit(w.lower()) for w in found]
+        out = Counter(x >> (64 - bits) for x in h)
+        for a, b in zip(h, h[1:], strict=False):
+            pair = classifier.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], dtype=np.uint64))[0]
+            out[int(pair) >> (64 - bits)] += 1
+            if a == b:
+                out[int(classifier._TWICE) >> (64 - bits)] += 1
+        return {k: math.sqrt(n / max(1, len(h))) for k, n in out.items()}
+
+    import zlib
+
+    chosen = sorted((i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+    examples = [({**plain(texts[i]), -1: 1.0}, y) for i, y in chosen]
+    good = sum(y for _, y in examples) / len(examples)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= 0.02 else -(z[k] - math.copysign(0.02, z[k])) / ((1 + math.sqrt(n[k])) / 0.3 + 0.1)
+
+    order = np.random.default_rng(7)
+    for _ in range(classifier.EPOCHS):
+        for k in order.permutation(len(examples)):
+            x, y = examples[k]
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v * (0.5 / good if y else 0.5 / (1 - good))
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / 0.3 * w[f]
+                n[f] += g * g
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = classifier.score_quality(df, spark.createDataFrame(labels, "doc_id long, quality int"), bits=bits).collect()
+    for r in got:
+        want = 1 / (1 + math.exp(-sum(weight(f) * v for f, v in {**plain(texts[r["doc_id"]]), -1: 1.0}.items())))
+        assert math.isclose(r["score"], want, rel_tol=1e-7) and r["predicted"] == (r["score"] >= 0.7)
+    none = classifier.score_quality(df, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r["score"] for r in none} == {0.5}
+
+
 def test_language_model(spark, docs, texts):
     import zlib
 
@@ -344,32 +467,125 @@ def test_language_model(spark, docs, texts):
 
 
 def test_lattice_sums_all_segmentations():
-    raw = {"0▁": 1.0, "0▁a": 2.0, "1▁a": 1.0, "1▁ab": 3.0, "2a": 1.0, "2b": 1.0, "3a": 1.0, "3b": 2.0, "3ab": 1.0, "2ab": 0.5, "1▁": 0.1, "0▁ab": 0.2}
-    w = lm.normalised(raw, 1.0, 10.0)
+    raw = {"▁": 1.0, "▁a": 2.0, "▁ab": 3.0, "a": 1.0, "b": 1.0, "ab": 0.5, "<0xC3>": 0.1, "<0xA9>": 0.2}
+    w = lm.normalised(raw, 1.0)
+    assert math.isclose(sum(map(math.exp, w.values())), 1.0)
     lattice = lm.Lattice(w)
 
-    def every(word, later):
-        if not word:
-            return 0.0
-        total = 0.0
-        for j in range(1, len(word) + 1):
-            done = j == len(word)
-            name = f"{2 * later + done}{word[:j]}"
-            if name in w:
-                total += math.exp(w[name]) * (1.0 if done else every(word[j:], True))
-        return total
+    def every(word):
+        return 1.0 if not word else sum(math.exp(w[word[:j]]) * every(word[j:]) for j in range(1, len(word) + 1) if word[:j] in w)
 
     for word in ("a", "ab", "ba", "abab", "aab"):
-        assert math.isclose(lattice.log_prob(word), math.log(every("▁" + word, False)), rel_tol=1e-12)
-    words = ["a", "ab", "ba", "abab", "aab", "ab" * 30]
+        assert math.isclose(lattice.log_prob(word), math.log(every("▁" + word)), rel_tol=1e-12)
+    assert math.isclose(lattice.log_prob("é"), w["▁"] + w["<0xC3>"] + w["<0xA9>"], rel_tol=1e-12)
+    words = ["a", "ab", "ba", "abab", "aab", "ab" * 30, "aéb"]
     assert np.allclose(lm.Batch(w).run(words), [lattice.log_prob(x) for x in words])
     one, two = {}, {}
-    lm.Batch(w).run(words, np.array([1.0, 2, 3, 4, 5, 6]), one)
-    for x, k in zip(words, (1, 2, 3, 4, 5, 6), strict=True):
+    lm.Batch(w).run(words, np.array([1.0, 2, 3, 4, 5, 6, 7]), one)
+    for x, k in zip(words, (1, 2, 3, 4, 5, 6, 7), strict=True):
         lattice.expect(x, k, two)
     assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-9) for k in one)
 
 
+def test_lattice_score_end_to_end(spark):
+    """Scores equal a plain implementation: ranks, one round of EM over the training words, sum over all segmentations."""
+    import zlib
+
+    import sentencepiece
+
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["The", "cat", "sätze", "wandering", "é世x", "ok!"]) for _ in range(rng.randrange(6)))
+    rows = [(i, text()) for i in range(40)] + [(90, None), (None, "one more")]
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm.VOCABULARY)
+    raw = {}
+    for i in range(sp.vocab_size()):
+        p = sp.id_to_piece(i)
+        if not (sp.is_control(i) or sp.is_unknown(i) or "▁" in p[1:]):
+            raw[p] = 1 / ((32000 if sp.is_byte(i) else min(32000, max(0.0, -sp.get_score(i)))) + 2.7)
+
+    def paths(word, w):
+        """(pieces, probability) of every segmentation."""
+        if not word:
+            return [([], 1.0)]
+        heads = [[word[:j]] for j in range(1, len(word) + 1) if word[:j] in w]
+        heads += [] if word[0] in w else [[f"<0x{b:02X}>" for b in word[0].encode()]]
+        return [(h + t, math.prod(w[x] for x in h) * p) for h in heads for t, p in paths(word[max(1, len(h[0]) if len(h) == 1 and h[0][0] != "<" else 1) :], w)]
+
+    def shares(x, ends):
+        total = sum(x.values()) + ends
+        return {k: v / total for k, v in x.items()}, ends / total
+
+    train = [t or "" for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 10]
+    w, _ = shares(raw, 0.5)
+    seen = Counter()
+    for t in train:
+        for word in t.lower().split():
+            every = paths("▁" + word, w)
+            total = sum(p for _, p in every)
+            for pieces, p in every:
+                for x in pieces:
+                    seen[x] += p / total
+    w, end = shares({k: seen[k] + lm.SMOOTH for k in raw}, len(train) + 0.5)
+    want = sorted(math.log10(end) + sum(math.log10(sum(p for _, p in paths("▁" + x, w))) for x in (t or "").lower().split()) for _, t in rows)
+    for top in (2, 1000):
+        got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1, top=top).collect()
+        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-9)
+
+
+def rejected(t):
+    """The quality rules word by word."""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen = defaultdict(list)
+    for i in range(len(w) - 2):
+        seen[tuple(w[i : i + 3])].append(i)
+    again = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    chars = sum(map(len, w))
+    return (
+        len(w) < 50 or 100 * len(again) > 50 * len(w) or sum(c in "#*$%&|<>" for c in t) * 10 > len(w) or (len(lines) - len(set(lines))) * 2 > len(lines)
+        or chars * 2 < len(w) * 5 or chars > len(w) * 14 or sum(c.isupper() for c in t) * 2 > chars or t.count("!!") * 10 > len(w) * 2
+    )
+
+
+def test_stages_equal_brute_force(spark, docs, texts):
+    """What each stage keeps of its own input, and the texts it leaves."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, t in texts.items() if not rejected(t)}
+    classes = defaultdict(list)
+    for r in neardup.duplicate_classes(docs).collect():
+        classes[r["class_id"]].append(r["doc_id"])
+    one = stages["near dedup"](spark, docs, SF)
+    assert one.columns == docs.columns and {r["doc_id"]: r["text"] for r in one.collect()} == {min(x): texts[min(x)] for x in classes.values()}
+    leaks = {r["doc_id"] for r in decontam.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    clean = stages["decontamination"](spark, docs, SF)
+    assert leaks and clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == texts.keys() - leaks
+    masked = {r["doc_id"]: r["text"] for r in stages["personal data"](spark, docs, SF).collect()}
+    for r in pii.find_spans(docs).collect():
+        t, out, at = texts[r["doc_id"]], "", 0
+        for kind, a, b in (x.split(":") for x in filter(None, r["spans"].split(","))):
+            if int(a) >= at:
+                out += t[at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        assert masked[r["doc_id"]] == out + t[at:]
+
+
+def test_stages_with_odd_rows(spark):
+    """Null, empty, repeated and clashing rows pass every stage, and so does an empty table."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, None, None, 1, "a", "b"), (1, text, "en", "s", 1, "a", "b"), (None, text + " more", "en", "s", None, "a", "b"), (2, None, "en", "s", 0, "a", "b"), (3, "", "en", "s", 0, "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `_row` string, label string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF).collect()
+        assert len(out) == {"quality rules": 3, "near dedup": 2}.get(name, 5), name
+        assert stage(spark, df.where("false"), SF).collect() == []
+
+
 def test_mask_and_pipeline(spark):
     import corpus_pipeline
 
