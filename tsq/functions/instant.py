@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tsq.model import INF, NAN, finite_or
+from tsq.model import INF, NAN, divide, finite_or, whole
 
 
 def _log(fn):
@@ -26,8 +26,8 @@ def _domain(fn, test):
 
 def round_to(v: Column, to: Column) -> Column:
     """Nearest multiple, ties up."""
-    inverse = F.lit(1.0) / to
-    return finite_or(v, F.floor(finite_or(v, v) * inverse + 0.5).cast("double") / inverse)
+    inverse = divide(F.lit(1.0), to)
+    return finite_or(v, divide(whole(v * inverse + 0.5, F.floor), inverse))
 
 
 def clamp_min(v: Column, low: Column) -> Column:
@@ -44,8 +44,8 @@ def _inverse_hyperbolic_sine(v: Column) -> Column:
 
 MATH = {
     "abs": F.abs,
-    "ceil": lambda v: finite_or(v, F.ceil(finite_or(v, v)).cast("double")),
-    "floor": lambda v: finite_or(v, F.floor(finite_or(v, v)).cast("double")),
+    "ceil": lambda v: whole(v, F.ceil),
+    "floor": lambda v: whole(v, F.floor),
     "exp": F.exp,
     "ln": _log(F.ln),
     "log2": _log(F.log2),

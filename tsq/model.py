@@ -18,7 +18,7 @@ SAMPLE_SCHEMA = "labels map<string,string>, t bigint, v double, stale boolean"
 
 def key_of(labels: str | Column = "labels") -> Column:
     """A map's sorted entries: orderable and joinable, which maps are not."""
-    return F.array_sort(F.map_entries(labels))
+    return F.sort_array(F.map_entries(labels))
 
 
 def label(name: str, labels: str | Column = "labels") -> Column:
@@ -121,6 +121,12 @@ def finite_or(v: Column, out: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == INF), v).otherwise(out)
 
 
+def whole(v: Column, fn) -> Column:
+    """``fn`` (floor or ceil) of a value; from 2**53 on every double is whole, and a long would not hold them all."""
+    small = F.abs(v) < 2.0**53
+    return F.when(small, fn(F.when(small, v)).cast("double")).otherwise(v)
+
+
 def nan_max(v: str | Column) -> Column:
     v = F.col(v) if isinstance(v, str) else v
     return F.coalesce(F.max(F.when(~F.isnan(v), v)), F.lit(NAN))

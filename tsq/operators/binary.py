@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsq.model import NAME, arithmetic, compare, drop_labels, drop_name, empty_map, keep_labels, key_of
+from tsq.model import NAME, arithmetic, compare, drop_labels, drop_name, keep_labels, key_of
 from tsq.promql.ast import Binary
 from tsq.promql.parser import COMPARISONS
 
@@ -56,8 +56,7 @@ def vector_binary(node: Binary, a: DataFrame, b: DataFrame) -> DataFrame:
     test = node.op in COMPARISONS
     if test and not node.bool_:
         joined = joined.where(compare(node.op, x, y))
-        value = x if node.card == "one" or not swap else y
-        value = F.col("v") if node.card != "one" else x
+        value = x
         name_kept = True
     else:
         value = F.when(compare(node.op, x, y), 1.0).otherwise(0.0) if test else arithmetic(node.op, x, y)
@@ -73,5 +72,3 @@ def vector_binary(node: Binary, a: DataFrame, b: DataFrame) -> DataFrame:
     out = joined.select(labels.alias("labels"), "t", value.alias("v"))
     return out if node.card == "one" else duplicates_fail(out)
 
-
-__all__ = ["duplicates_fail", "set_operation", "vector_binary", "empty_map"]

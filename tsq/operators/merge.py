@@ -1,69 +1,99 @@
-"""Merging replicas of one series: window expressions only.
+"""Merging replicas of one series: window expressions over slices of series.
 
 The side with more samples is the base (ties: the first) and keeps every sample. A sample of the other side is added
 where it is farther than the buffer from the base samples around it; between two base samples these must also lie more
-than twice the buffer apart. A series is the unit of parallelism.
+than twice the buffer apart. The rule is local, so a series is cut into slices of time: one aggregation by (series, slice)
+tells each slice its base side and the nearest base samples outside it, and all else happens inside a slice.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsq.model import key_of
 
 MIN_GAPS = 3
+SLICE_MS = 86_400_000
 
 
-def _dynamic(rows: DataFrame) -> DataFrame:
-    """Adds ``_buf`` per series: half the upper median of the longer side's positive gaps, with the other side's gaps
-    where it has under three; the static value stays where both have too few."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("_key", "_side").orderBy("t"))
-    gaps = rows.withColumn("_gap", gap).groupBy("_key").agg(
-        F.collect_list(F.when((F.col("_gap") > 0) & F.col("_base"), F.col("_gap"))).alias("_x"),
-        F.collect_list(F.when((F.col("_gap") > 0) & ~F.col("_base"), F.col("_gap"))).alias("_y"),
+def _slices(rows: DataFrame) -> DataFrame:
+    """By (series, slice): whether side 1 is the base, the base's last time before and first time after the slice, each
+    side's last time before, the series' first base time, and whether the other side starts ahead of it."""
+    on = lambda side: F.when(F.col("_side") == side, F.col("t"))
+    per = rows.groupBy("_key", "_slice").agg(
+        F.count(on(0)).alias("n0"), F.count(on(1)).alias("n1"), F.min(on(0)).alias("lo0"), F.max(on(0)).alias("hi0"), F.min(on(1)).alias("lo1"), F.max(on(1)).alias("hi1")
+    )
+    series = Window.partitionBy("_key")
+    before = series.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = series.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_one", F.sum("n1").over(series) > F.sum("n0").over(series))
+    base = lambda name, own=True: F.when(F.col("_one") == own, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    return per.select(
+        "_key",
+        "_slice",
+        "_one",
+        F.max(base("hi")).over(before).alias("_left"),
+        F.min(base("lo")).over(after).alias("_right"),
+        F.max("hi0").over(before).alias("_last0"),
+        F.max("hi1").over(before).alias("_last1"),
+        F.min(base("lo")).over(series).alias("_first"),
+        (F.min(base("lo", False)).over(series) < F.min(base("lo")).over(series)).alias("_led"),
     )
-    every = F.array_sort(F.when(F.size("_x") < MIN_GAPS, F.concat("_x", "_y")).otherwise(F.col("_x")))
-    half = F.floor(F.get(every, F.floor(F.size(every) / 2).cast("int")) / 2).cast("long")
-    gaps = gaps.select("_key", F.when(F.size(every) >= MIN_GAPS, half).alias("_dyn"))
-    return rows.join(gaps, "_key").withColumn("_buf", F.coalesce("_dyn", "_buf")).drop("_dyn")
-
-
-def merge_pair(a: DataFrame, b: DataFrame, buffer_ms: int = 10_000, dynamic: bool = False, prefer_max: bool = False) -> DataFrame:
-    """``(labels, t, v)`` of two sides, merged by series. With ``prefer_max`` a base sample takes the value of the first
-    other sample inside the buffer (or at its own time) if that is larger, but not the first base sample when nothing
-    of the other side precedes it."""
-    rows = a.select("labels", "t", "v", F.lit(0).alias("_side")).unionByName(b.select("labels", "t", "v", F.lit(1).alias("_side")))
-    rows = rows.withColumn("_key", key_of())
+
+
+def _dynamic(rows: DataFrame) -> DataFrame:
+    """``(_key, _dyn)``: half the upper median of the longer side's positive gaps, with the other side's gaps where it has
+    under three; null where both have too few. Equal gaps are counted ahead of the shuffle."""
+    own = F.lag("t").over(Window.partitionBy("_key", "_slice", "_side").orderBy("t"))
+    gap = F.col("t") - F.coalesce(own, F.when(F.col("_side") == 1, F.col("_last1")).otherwise(F.col("_last0")))
+    counts = rows.select("_key", gap.alias("gap"), F.when(F.col("_base"), 1).otherwise(0).alias("x")).where("gap > 0")
+    counts = counts.groupBy("_key", "gap").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("every"))
     series = Window.partitionBy("_key")
-    more = F.sum(F.when(F.col("_side") == 1, 1).otherwise(-1)).over(series) > 0
-    rows = rows.withColumn("_base", (F.col("_side") == 1) == more).withColumn("_buf", F.lit(buffer_ms).cast("long"))
+    used = F.when(F.sum("x").over(series) < MIN_GAPS, F.col("every")).otherwise(F.col("x"))
+    counts = counts.withColumn("n", used)
+    counts = counts.withColumn("upto", F.sum("n").over(series.orderBy("gap"))).withColumn("all", F.sum("n").over(series))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("gap")))
+    return counts.where(F.col("all") >= MIN_GAPS).groupBy("_key").agg(F.floor(middle / 2).cast("long").alias("_dyn"))
+
+
+def merge_pair(a: DataFrame, b: DataFrame, buffer_ms: int = 10_000, dynamic: bool = False, prefer_max: bool = False, value: str = "v", slice_ms: int = SLICE_MS) -> DataFrame:
+    """``(labels, t, value)`` of two sides, merged by series; histograms merge as floats do. With ``prefer_max`` a base sample
+    takes the value of the first other sample inside the buffer (or at its own time) if that is larger, but not the first
+    base sample when nothing of the other side precedes it."""
+    if dynamic and prefer_max:
+        raise ValueError("prefer_max takes a static buffer")
+    rows = a.select("labels", "t", value, F.lit(0).alias("_side")).unionByName(b.select("labels", "t", value, F.lit(1).alias("_side")))
+    rows = rows.select(key_of().alias("_key"), "t", value, "_side", F.floor(F.col("t") / slice_ms).alias("_slice"))
+    slices = _slices(rows)
+    known = rows.join(slices, ["_key", "_slice"]).withColumn("_base", (F.col("_side") == 1) == F.col("_one"))
+    buffer: Column = F.lit(buffer_ms).cast("long")
     if dynamic:
-        rows = _dynamic(rows)
+        slices = slices.join(_dynamic(known), "_key", "left")
+        known = rows.join(slices, ["_key", "_slice"]).withColumn("_base", (F.col("_side") == 1) == F.col("_one"))
+        buffer = F.coalesce("_dyn", buffer)
+    known = known.withColumn("_at", F.col("_slice"))
+    reach = max(0, buffer_ms - 1)
+    if prefer_max:
+        # samples of the other side also stand in the slices that they can reach
+        spread = F.sequence(F.floor((F.col("t") - reach) / slice_ms), F.floor((F.col("t") + reach) / slice_ms))
+        known = known.withColumn("_at", F.explode(F.when(F.col("_base"), F.array("_slice")).otherwise(spread)))
     own = F.when(F.col("_base"), F.col("t"))
-    by_time = series.orderBy("t")
-    rows = rows.withColumn("_before", F.max(own).over(by_time.rangeBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_after", F.min(own).over(series.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)))
-    t, x, y, buf = F.col("t"), F.col("_before"), F.col("_after"), F.col("_buf")
-    free = (
-        F.when(x.isNull(), t < y - buf)
-        .when(y.isNull(), t > x + buf)
-        .otherwise((y - x > 2 * buf) & (t > x + buf) & (t < y - buf))
-    )
-    value = F.col("v")
+    part = Window.partitionBy("_key", "_at")
+    by_time = part.orderBy("t")
+    known = known.withColumn("_x", F.coalesce(F.max(own).over(by_time.rangeBetween(Window.unboundedPreceding, 0)), F.col("_left")))
+    known = known.withColumn("_y", F.coalesce(F.min(own).over(part.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)), F.col("_right")))
+    t, x, y = F.col("t"), F.col("_x"), F.col("_y")
+    free = F.when(x.isNull(), t < y - buffer).when(y.isNull(), t > x + buffer).otherwise((y - x > buffer * 2) & (t > x + buffer) & (t < y - buffer))
+    out = F.col(value)
     if prefer_max:
-        other = F.when(~F.col("_base"), F.struct("t", "v"))
-        if dynamic:
-            raise ValueError("prefer_max takes a static buffer")
-        reach = max(0, buffer_ms - 1)
-        near = F.min(other).over(by_time.rangeBetween(-reach, reach))
-        first = F.min(own).over(series)
-        led = F.min(F.when(~F.col("_base"), t)).over(series) < first
-        rows = rows.withColumn("_near", near).withColumn("_open", (t != first) | led | F.isnull(led))
-        value = F.when(F.col("_base") & F.col("_open") & (F.col("_near.v") > F.col("v")), F.col("_near.v")).otherwise(F.col("v"))
-    return rows.where(F.col("_base") | F.coalesce(free, F.lit(False))).select("labels", "t", value.alias("v"))
+        known = known.withColumn("_near", F.min(F.when(~F.col("_base"), F.struct("t", value))).over(by_time.rangeBetween(-reach, reach)))
+        may = (t != F.col("_first")) | F.coalesce("_led", F.lit(True))
+        out = F.when(F.col("_base") & may & (F.col(f"_near.{value}") > out), F.col(f"_near.{value}")).otherwise(out)
+    kept = known.where((F.col("_at") == F.col("_slice")) & (F.col("_base") | F.coalesce(free, F.lit(False))))
+    return kept.select(F.map_from_entries("_key").alias("labels"), "t", out.alias(value))
 
 
 def merge_replicas(sides: list[DataFrame], buffer_ms: int = 10_000, **how) -> DataFrame:
@@ -71,9 +101,9 @@ def merge_replicas(sides: list[DataFrame], buffer_ms: int = 10_000, **how) -> Da
     return reduce(lambda a, b: merge_pair(a, b, buffer_ms, **how), sides)
 
 
-def union_shards(shards: list[DataFrame]) -> DataFrame:
-    """Shards folded with buffer 0: series under one label set merge, others add up."""
-    return merge_replicas(shards, 0)
+def union_shards(shards: list[DataFrame], value: str = "v") -> DataFrame:
+    """Shards that may hold the same series, folded with buffer 0: series under one label set merge, others add up."""
+    return merge_replicas(shards, 0, value=value)
 
 
 def merge_vectors(sides: list[DataFrame], prefer_max: bool = False) -> DataFrame:

@@ -1,12 +1,15 @@
 """Lowering of a parsed query to a DataFrame plan, for one instant or a step grid.
 
-Python runs at plan time only. A vector is ``(labels, t, v[, ts])``; a scalar is an expression of ``t`` where it can be,
-and else a frame ``(t, v)``, which has one row per step. All row work is built-in expressions.
+Python runs at plan time only. A vector is ``(labels, t, v[, ts])``, and beside it ``(labels, t, h)`` where the samples hold
+native histograms; a scalar is an expression of ``t`` where it can be, and else a frame ``(t, v)``, which has one row per
+step. All row work is built-in expressions. Samples are reduced by (series, step) or (series, pane) ahead of a shuffle
+wherever the function allows it, and a series is never the unit of work: a pane of it is.
 """
 
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -14,16 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsq.functions import instant
-from tsq.functions.windows import KEEPS_NAME, PAIRED, WINDOW_FUNCTIONS, median_deviation, quantile_of, smoothing
-from tsq.model import INF, NAME, NAN, arithmetic, compare, drop_name, format_column, key_of, label, lit_map, nan_max, set_label
-from tsq.operators.aggregate import aggregate
+from tsq.functions.windows import KEEPS_NAME, MERGED, PAIRED, WHOLE
+from tsq.model import NAME, NAN, arithmetic, compare, drop_name, key_of, label, lit_map, set_label
+from tsq.operators.aggregate import aggregate, aggregate_by_parameter
 from tsq.operators.binary import duplicates_fail, set_operation, vector_binary
-from tsq.operators.histogram import histogram_quantile
+from tsq.operators.histogram import HISTOGRAM, HISTOGRAM_CALLS, aggregate_histograms, histogram_quantile, histogram_windows
 from tsq.promql.ast import Aggregate, Binary, Call, Matcher, Negate, Number, Selector, String, Subquery
 from tsq.promql.parser import COMPARISONS, SETS, parse
 
 LOOKBACK_MS = 300_000
 MAX_STEPS = 11_000
+INSTANT_PANES = 32
 
 
 class QueryError(ValueError):
@@ -46,11 +50,13 @@ class Grid:
 
 @dataclass
 class Vector:
-    """``df`` is ``(labels, t, v)``; ``ts`` tells whether the samples' own times are kept in a column of that name."""
+    """``df`` is ``(labels, t, v)``; ``ts`` tells whether the samples' own times are kept in a column of that name. ``hist`` is
+    ``(labels, t, h)``, the histograms beside the floats, or null where there can be none."""
 
     df: DataFrame
     ts: bool = False
     order: list[Column] | None = None
+    hist: DataFrame | None = None
 
 
 @dataclass
@@ -68,7 +74,10 @@ class Scalar:
 
 @dataclass
 class Engine:
-    """Evaluates queries over ``scan(matchers, low, high) -> (labels, t, v, stale)``, samples with ``low < t <= high``."""
+    """Evaluates queries over ``scan(matchers, low, high) -> (labels, t, v, stale[, h])``, samples with ``low < t <= high``.
+
+    ``begin(start, end, step)``, if given, returns the scan for one request, for sources that depend on it.
+    """
 
     spark: SparkSession
     scan: Callable[[tuple[Matcher, ...], int, int], DataFrame]
@@ -76,6 +85,7 @@ class Engine:
     default_step: int = 60_000
     max_steps: int = MAX_STEPS
     warnings: set[str] = field(default_factory=set)
+    begin: Callable[[int, int, int], Callable] | None = None
 
     def query(self, text: str, at: int) -> DataFrame:
         """Instant query at ``at`` (ms)."""
@@ -83,25 +93,75 @@ class Engine:
 
     def query_range(self, text: str, start: int, end: int, step: int) -> DataFrame:
         """Range query over ``start, start + step, ... <= end`` (ms)."""
+        return self._run(text, self.grid(start, end, step))
+
+    def histograms(self, text: str, start: int, end: int | None = None, step: int = 1) -> DataFrame:
+        """``(labels, t, h)``: the native histograms of a query's result, at an instant or over a range."""
+        out = self._bound(grid := self.grid(start, start if end is None else end, step)).eval(parse(text), grid)
+        if not isinstance(out, Vector) or out.hist is None:
+            return self.spark.createDataFrame([], f"labels map<string,string>, t bigint, h {HISTOGRAM}")
+        return out.hist
+
+    def grid(self, start: int, end: int, step: int) -> Grid:
         if step <= 0 or end < start:
             raise QueryError("bad range")
         grid = Grid(start, end, step)
         if grid.count > self.max_steps:
             raise QueryError(f"over {self.max_steps} steps")
-        return self._run(text, grid)
+        return grid
+
+    def collect(self, df: DataFrame, most: int = 50_000_000, timeout_s: float = 120.0) -> list:
+        """The rows of a result, with the guards of an interactive query: a row limit and a time limit."""
+        context, group = self.spark.sparkContext, f"query-{id(df)}"
+        late = threading.Event()
+
+        def stop():
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout_s, stop)
+        context.setJobGroup(group, "query", interruptOnCancel=True)
+        timer.start()
+        try:
+            rows = df.limit(most + 1).collect()
+        except Exception as e:
+            raise QueryError(f"over {timeout_s} s") from e if late.is_set() else e
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+        if len(rows) > most:
+            raise QueryError(f"over {most} samples")
+        return rows
+
+    def _bound(self, grid: Grid) -> Engine:
+        """This engine with the scan for one request, and a memory of its subtrees, which are planned once."""
+        scan = self.scan if self.begin is None else self.begin(grid.start, grid.end, grid.step)
+        bound = replace(self, scan=scan, begin=None)
+        bound.known = {}
+        return bound
 
     def _run(self, text: str, grid: Grid) -> DataFrame:
-        out = self.eval(parse(text), grid)
+        bound = self._bound(grid)
+        out = bound.eval(parse(text), grid)
         if isinstance(out, str):
             raise QueryError("a text is not a result")
         if isinstance(out, Scalar):
-            return self.scalar_frame(out, grid).select(lit_map({}).alias("labels"), "t", "v")
+            return bound.scalar_frame(out, grid).select(lit_map({}).alias("labels"), "t", "v")
         df = out.df.select("labels", "t", "v")
         return df.orderBy(*out.order) if out.order else df
 
     # -- nodes ---------------------------------------------------------------------------------------------------
 
     def eval(self, node, grid: Grid) -> Vector | Scalar | str:
+        """Equal subtrees over equal steps are one plan, so their exchanges are reused."""
+        known = getattr(self, "known", None)
+        if known is None or not isinstance(node, Selector | Aggregate | Call | Binary):
+            return self._eval(node, grid)
+        if (node, grid) not in known:
+            known[node, grid] = self._eval(node, grid)
+        return known[node, grid]
+
+    def _eval(self, node, grid: Grid) -> Vector | Scalar | str:
         if isinstance(node, Number):
             return Scalar.of(node.value)
         if isinstance(node, String):
@@ -132,96 +192,125 @@ class Engine:
 
     def instant_vector(self, node: Selector, grid: Grid) -> Vector:
         if node.at is not None:
-            df = self.pinned(node, grid, lambda n, g: self.instant_vector(n, g).df)
-            return Vector(df.select("labels", "t", "v", "ts"), ts=True)
+            at = self.at_time(node, grid)
+            once = self.instant_vector(replace(node, at=None), Grid(at, at, 1))
+            steps = F.broadcast(grid.frame(self.spark))  # one row per step, at most max_steps
+            hist = None if once.hist is None else once.hist.drop("t").crossJoin(steps).select("labels", "t", "h")
+            return Vector(once.df.drop("t").crossJoin(steps).select("labels", "t", "v", "ts"), ts=True, hist=hist)
         first, last = grid.start - node.offset, grid.end - node.offset
-        rows = self.scan(node.matchers, first - self.lookback, last).select("labels", F.col("t").alias("ts"), "v", "stale")
-        if grid.count == 1:
-            newest = rows.groupBy("labels").agg(F.max_by(F.struct("v", "stale", "ts"), "ts").alias("x"))
-            df = newest.where(~F.col("x.stale")).select("labels", F.lit(grid.start).cast("long").alias("t"), "x.v", "x.ts")
-            return Vector(df, ts=True)
-        near = Window.partitionBy(key_of()).orderBy("ts")
-        until = F.least(F.coalesce(F.lead("ts").over(near), F.lit(2**62)), F.col("ts") + self.lookback)
-        low = F.greatest(F.lit(0), F.ceil((F.col("ts") - first) / grid.step)).cast("long")
-        high = F.least(F.lit(grid.count - 1), F.ceil((F.col("until") - first) / grid.step) - 1).cast("long")
-        df = (
-            rows.withColumn("until", until)
-            .where(~F.col("stale"))
-            .withColumn("lo", low)
-            .withColumn("hi", high)
-            .where("lo <= hi")
-            .select("labels", "v", "ts", F.explode(F.sequence("lo", "hi")).alias("k"))
-            .select("labels", (F.col("k") * grid.step + grid.start).alias("t"), "v", "ts")
-        )
-        return Vector(df, ts=True)
-
-    def windows(self, node, grid: Grid, paired: bool) -> DataFrame:
-        """Rows ``(labels, t, lo, ts, v[, pts, pv])``: each sample at every step whose window holds it."""
+        rows = self.scan(node.matchers, first - self.lookback, last)
+        values = ["v", "h"] if "h" in rows.columns else ["v"]
+        rows = rows.select(key_of().alias("key"), F.col("t").alias("ts"), *values, "stale")
+        # the newest sample of every series and step, found ahead of the shuffle
+        step = F.greatest(F.lit(0), F.ceil((F.col("ts") - first) / grid.step)).cast("long")
+        newest = rows.withColumn("k", step).where(F.col("k") < grid.count)
+        newest = newest.groupBy("key", "k").agg(F.max_by(F.struct(*values, "stale", "ts"), "ts").alias("x"))
+        until = F.least(F.lit(grid.count - 1), F.ceil((F.col("x.ts") + self.lookback - first) / grid.step) - 1).cast("long")
+        if self.lookback > grid.step and grid.count > 1:
+            # a sample also stands for later steps, up to the next one's
+            after = F.lead("k").over(Window.partitionBy("key").orderBy("k"))
+            until = F.least(until, F.coalesce(after, F.lit(grid.count)) - 1)
+        df = newest.withColumn("until", until).where((F.col("k") <= F.col("until")) & ~F.col("x.stale"))
+        at = F.col("k") if self.lookback <= grid.step or grid.count == 1 else F.explode(F.sequence("k", "until"))
+        df = df.select(F.map_from_entries("key").alias("labels"), at.alias("at"), *[F.col(f"x.{c}").alias(c) for c in (*values, "ts")])
+        df = df.withColumn("t", F.col("at") * grid.step + grid.start)
+        if "h" not in values:
+            return Vector(df.select("labels", "t", "v", "ts"), ts=True)
+        return Vector(df.where("h IS NULL").select("labels", "t", "v", "ts"), ts=True, hist=df.where("h IS NOT NULL").select("labels", "t", "h"))
+
+    def samples(self, node, grid: Grid) -> DataFrame:
+        """``(key, ts, v[, h])`` of all samples that a window over the grid can hold, at the times that count there."""
         first, last = grid.start - node.offset, grid.end - node.offset
         if isinstance(node, Selector):
-            rows = self.scan(node.matchers, first - node.range, last).where(~F.col("stale")).select("labels", F.col("t").alias("ts"), "v")
+            rows = self.scan(node.matchers, first - node.range, last).where(~F.col("stale"))
         else:
             step = node.step or self.default_step
             low = -(-(first - node.range + 1) // step) * step
             if low > last:
-                rows = self.spark.createDataFrame([], "labels map<string,string>, ts bigint, v double")
+                rows = self.spark.createDataFrame([], "labels map<string,string>, t bigint, v double")
             else:
-                inner = self.eval(node.expr, Grid(low, last - (last - low) % step, step))
-                rows = inner.df.select("labels", F.col("t").alias("ts"), "v")
-        extra = []
-        if paired:
-            near = Window.partitionBy(key_of()).orderBy("ts")
-            rows = rows.withColumn("pts", F.lag("ts").over(near)).withColumn("pv", F.lag("v").over(near))
-            extra = [(F.col("pts") + node.offset).alias("pts"), "pv"]
+                rows = self.eval(node.expr, Grid(low, last - (last - low) % step, step)).df
+        more = ["h"] if "h" in rows.columns else []
+        return rows.select(key_of().alias("key"), (F.col("t") + node.offset).alias("ts"), "v", *more)
+
+    def spread(self, rows: DataFrame, grid: Grid, low: Column, high: Column, range_ms: int) -> DataFrame:
+        """Rows at every step whose window holds the times from ``low`` to ``high``; adds ``t`` and ``lo``."""
         if grid.count == 1:
-            spread = rows.withColumn("t", F.lit(grid.start).cast("long"))
+            out = rows.withColumn("t", F.lit(grid.start).cast("long"))
         else:
-            lo = F.greatest(F.lit(0), F.ceil((F.col("ts") - first) / grid.step)).cast("long")
-            hi = F.least(F.lit(grid.count - 1), F.ceil((F.col("ts") + node.range - first) / grid.step) - 1).cast("long")
-            spread = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("t", F.col("_k") * grid.step + grid.start)
-        return spread.select("labels", "t", (F.col("t") - node.range).alias("lo"), (F.col("ts") + node.offset).alias("ts"), "v", *extra)
+            lo = F.greatest(F.lit(0), F.ceil((high - grid.start) / grid.step)).cast("long")
+            hi = F.least(F.lit(grid.count - 1), F.ceil((low + range_ms - grid.start) / grid.step) - 1).cast("long")
+            out = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
+            out = out.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("t", F.col("_k") * grid.step + grid.start).drop("_lo", "_hi", "_k")
+        return out.withColumn("lo", F.col("t") - range_ms)
+
+    def merged_window(self, name: str, rows: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
+        """``(key, t, v)`` of a function whose panes can be merged."""
+        fn, base = MERGED[name](), grid.start - range_ms
+        # no window's edge falls inside a pane; an instant's one window has some, so that a series is many tasks' work
+        width = math.gcd(range_ms, grid.step) if grid.count > 1 else -(-range_ms // INSTANT_PANES)
+        rows = rows.withColumn("pane", F.ceil((F.col("ts") - base) / width).cast("long"))
+        single = width == range_ms
+        if name in PAIRED:
+            p = F.lag(F.struct("ts", "v")).over(Window.partitionBy("key", "pane").orderBy("ts"))
+            rows = rows.withColumn("p", p).select("key", "pane", "ts", "v", F.col("p.ts").alias("pts"), F.col("p.v").alias("pv"))
+        panes = rows.groupBy("key", "pane").agg(*[c.alias(k) for k, c in fn.partial.items()])
+        if name in PAIRED:
+            none = F.lit(None).cast("struct<t1:bigint,v1:double>")
+            p = none if single else F.lag(F.struct("t1", "v1")).over(Window.partitionBy("key").orderBy("pane"))
+            panes = panes.withColumn("p", p).withColumn("pts", F.col("p.t1")).withColumn("pv", F.col("p.v1"))
+        end = F.col("pane") * width + base
+        panes = self.spread(panes, grid, end - width + 1, end, range_ms)
+        # one pane a window needs no further shuffle
+        keys = ["key", "pane", "t"] if single else ["key", "t"]
+        out = panes.groupBy(*keys).agg(*[c.alias(k) for k, c in fn.final.items()])
+        out = out if fn.test is None else out.where(fn.test)
+        return out.select("key", "t", fn.result(range_ms).alias("v"))
 
     def window_call(self, name: str, node, grid: Grid, args: list) -> Vector:
         if node.at is not None:
             df = self.pinned(node, grid, lambda n, g: self.window_call(name, n, g, args).df)
             return Vector(df.select("labels", "t", "v"))
-        rows = self.windows(node, grid, name in PAIRED)
-        shift: Callable = lambda _: F.col("x")
-        if name == "quantile_over_time":
-            aggs, result, test = {"x": quantile_of(args[0])}, shift, None
-        elif name == "mad_over_time":
-            aggs, result, test = median_deviation()
-        elif name in ("double_exponential_smoothing", "holt_winters"):
-            aggs, result, test = smoothing(*args)
-        elif name == "predict_linear":
-            aggs, result, test = WINDOW_FUNCTIONS["deriv"]()
-            result = lambda _: F.col("icpt") + F.col("slope") * F.lit(args[0])
+        rows, hist = self.samples(node, grid), None
+        if "h" in rows.columns:
+            if name in ("rate", "increase", "delta"):
+                hist = histogram_windows(name, self.spread(rows.where("h IS NOT NULL").drop("v"), grid, F.col("ts"), F.col("ts"), node.range), node.range)
+            rows = rows.where("h IS NULL").drop("h")
+        if name in MERGED:
+            df = self.merged_window(name, rows, grid, node.range)
         else:
-            aggs, result, test = WINDOW_FUNCTIONS[name]()
-        grouped = rows.groupBy("labels", "t").agg(*[a.alias(k) for k, a in aggs.items()])
-        if test is not None:
-            grouped = grouped.where(test)
-        df = grouped.select("labels", "t", result(node.range).alias("v"))
-        return Vector(df) if name in KEEPS_NAME else self.nameless(Vector(df), node)
+            aggs, result, test = WHOLE[name](*args)
+            grouped = self.spread(rows, grid, F.col("ts"), F.col("ts"), node.range).groupBy("key", "t").agg(*[a.alias(k) for k, a in aggs.items()])
+            df = (grouped if test is None else grouped.where(test)).select("key", "t", result.alias("v"))
+        out = Vector(df.select(F.map_from_entries("key").alias("labels"), "t", "v"), hist=hist)
+        return out if name in KEEPS_NAME else self.nameless(out, node)
 
     def nameless(self, vector: Vector, source=None) -> Vector:
         """Drops the metric name; series of several names must stay distinct, which is checked where they may clash."""
         df = vector.df.withColumn("labels", drop_name())
+        hist = None if vector.hist is None else vector.hist.withColumn("labels", drop_name())
         certain = isinstance(source, Selector) and source.name is not None or isinstance(source, Aggregate)
-        return Vector(df if certain else duplicates_fail(df))
+        return Vector(df if certain else duplicates_fail(df), hist=hist)
 
     # -- operators -----------------------------------------------------------------------------------------------
 
     def aggregate(self, node: Aggregate, grid: Grid) -> Vector:
-        inner = self.eval(node.expr, grid).df.select("labels", "t", "v")
+        vector = self.eval(node.expr, grid)
+        inner = vector.df.select("labels", "t", "v")
         param = None
         if node.param is not None:
             param = self.eval(node.param, grid)
             if isinstance(param, Scalar):
                 if param.const is None:
-                    raise QueryError(f"the parameter of {node.op} has to be a constant")
+                    if node.op not in ("topk", "bottomk", "quantile"):
+                        raise QueryError(f"the parameter of {node.op} has to be a constant")
+                    df, value = self.with_scalar(inner, param)
+                    return Vector(aggregate_by_parameter(df.withColumn("_p", value), node.op, node.grouping, node.without))
                 param = param.const
-        return Vector(aggregate(inner, node.op, param, node.grouping, node.without))
+        hist = None
+        if vector.hist is not None and node.op in ("sum", "avg"):
+            hist = aggregate_histograms(vector.hist, node.op, node.grouping, node.without)
+        return Vector(aggregate(inner, node.op, param, node.grouping, node.without), hist=hist)
 
     def binary(self, node: Binary, grid: Grid) -> Vector | Scalar:
         a, b = self.eval(node.left, grid), self.eval(node.right, grid)
@@ -303,7 +392,7 @@ class Engine:
             return self.absent(args[0], present, grid)
         if name == "absent":
             return self.absent(args[0], self.eval(args[0], grid).df, grid)
-        if name in WINDOW_FUNCTIONS or name in ("predict_linear", "quantile_over_time", "mad_over_time", "double_exponential_smoothing", "holt_winters"):
+        if name in MERGED or name in WHOLE:
             window = next(a for a in args if isinstance(a, Selector | Subquery) and getattr(a, "range", None) is not None)
             rest = [self.const(a, grid, f"an argument of {name}") for a in args if a is not window]
             if name in ("double_exponential_smoothing", "holt_winters") and not all(0 < x < 1 for x in rest):
@@ -320,12 +409,17 @@ class Engine:
             return self.sort(name, args, grid)
         if name in ("label_replace", "label_join"):
             return self.relabel(name, args, grid)
-        if name == "histogram_quantile":
-            return Vector(histogram_quantile(self.const(args[0], grid, "the quantile"), self.eval(args[1], grid).df.select("labels", "t", "v")))
+        if name in HISTOGRAM_CALLS:
+            numbers = [self.const(a, grid, f"an argument of {name}") for a in args[:-1]]
+            inner = self.eval(args[-1], grid)
+            empty = inner.df.select("labels", "t", "v").where("false")
+            df = histogram_quantile(numbers[0], inner.df.select("labels", "t", "v")) if name == "histogram_quantile" else empty
+            if inner.hist is not None:
+                native = inner.hist.select(drop_name().alias("labels"), "t", HISTOGRAM_CALLS[name](*numbers).alias("v"))
+                df = native if name != "histogram_quantile" else df.unionByName(native)
+            return Vector(df)
         if name == "info":
             return self.info(args, grid)
-        if name.startswith("histogram_"):
-            raise QueryError(f"{name} needs native histograms; see tsq.operators.histogram for the column functions")
         inner = self.eval(args[0], grid)
         if name == "timestamp":
             v = F.col("ts") if inner.ts else F.col("t")
@@ -367,7 +461,7 @@ class Engine:
         if grid.count > 1:
             return inner
         if "label" in name:
-            keys = [label(a.value) for a in args[1:]]
+            keys = [natural(label(a.value)) for a in args[1:]]
             order = [k.desc() if name.endswith("desc") else k.asc() for k in keys]
         else:
             v = F.col("v")
@@ -401,6 +495,14 @@ class Engine:
         return Vector(joined.select(F.when(F.col("_more").isNull(), F.col("labels")).otherwise(F.map_concat("labels", fresh)).alias("labels"), "t", "v"))
 
 
+def natural(text: Column) -> Column:
+    """A sort key by which runs of digits compare as numbers: each is led by its length without zeros in front."""
+    parts = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda p: F.ltrim(p, F.lit("0"))
+    spelled = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 6, "0"), bare(p))).otherwise(p))
+    return F.struct(F.array_join(spelled, ""), text)
+
+
 def java_replacement(text: str) -> str:
     """``$1``, ``${1}`` and ``${name}`` as Java spells them, all else literal."""
     out, i = [], 0
@@ -426,5 +528,3 @@ def java_replacement(text: str) -> str:
         i += 1
     return "".join(out)
 
-
-__all__ = ["Engine", "Grid", "QueryError", "INF", "format_column", "nan_max"]
