@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsq.model import NAME, drop_name, key_of, lit_map, match, with_labels
+from tsq.model import NAME, drop_name, key_of, match, with_labels
 from tsq.plans.engine import Engine
+from tsq.promql.ast import Matcher
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,10 @@ class RecordingRule:
         return df.withColumn("labels", with_labels(F.col("labels"), {**self.labels, NAME: self.record}))
 
 
+class RuleError(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class AlertingRule:
     alert: str
@@ -42,11 +47,11 @@ class AlertingRule:
 
 def activations(df: DataFrame, step: int) -> DataFrame:
     """Adds ``active_at``, the start of each unbroken run of steps; a gap of more than a step starts a new run."""
-    series = Window.partitionBy(key_of()).orderBy("t")
+    series = Window.partitionBy("_key").orderBy("t")
+    marked = df.withColumn("_key", key_of())
     broken = F.col("t") - F.lag("t").over(series) > step
-    run = F.sum(F.when(F.coalesce(broken, F.lit(True)), 1).otherwise(0)).over(series)
-    marked = df.withColumn("_run", run)
-    return marked.withColumn("active_at", F.min("t").over(Window.partitionBy(key_of(), "_run"))).drop("_run")
+    marked = marked.withColumn("_new", F.when(F.coalesce(broken, F.lit(True)), F.col("t")))
+    return marked.withColumn("active_at", F.max("_new").over(series)).drop("_key", "_new")
 
 
 def alert_state(df: DataFrame, step: int, labels: Mapping[str, str], matchers=()) -> DataFrame:
@@ -55,14 +60,33 @@ def alert_state(df: DataFrame, step: int, labels: Mapping[str, str], matchers=()
     return out.withColumn("labels", with_labels(drop_name(), labels)).where(match(matchers))
 
 
-def backfill(engine: Engine, rule: AlertingRule, interval: int, now: int, stored: DataFrame | None = None) -> DataFrame:
-    """Stored activation samples if there are any, else those of the rule run over the last ``for`` plus one interval."""
-    if stored is not None and stored.limit(1).count():
-        return stored
+def run_rules(rules, engine: Engine, sink, start: int, end: int, step: int) -> None:
+    """Evaluates rules and writes their samples; a recording rule without a sink is refused before any runs."""
+    if sink is None and any(isinstance(r, RecordingRule) for r in rules):
+        raise RuleError("a recording rule needs a sample table to write to")
+    for rule in rules:
+        df = rule.evaluate(engine, start, end, step)
+        if sink is not None:
+            sink(df)
+
+
+def backfill(engine: Engine, rule: AlertingRule, interval: int, now: int, stored: DataFrame | None = None, cache: dict | None = None) -> DataFrame:
+    """The rule's stored activation samples if there are any, else those of the rule run over the last ``for`` plus one
+    interval. ``cache`` keeps what was run by rule and time."""
+    labels = {**rule.labels, NAME: "ALERTS_FOR_STATE", "alertname": rule.alert}
+    if stored is not None:
+        own = stored.where(match([Matcher(k, "=", v) for k, v in labels.items()]))
+        if own.limit(1).count():
+            return own
+    key = (rule.alert, rule.expr, tuple(sorted(rule.labels.items())), interval, now)
+    if cache is not None and key in cache:
+        return cache[key]
     start = now - rule.for_ms - interval
     start += (now - start) % interval
-    df = engine.query_range(rule.expr, start, now, interval)
-    return alert_state(df, interval, {**rule.labels, NAME: "ALERTS_FOR_STATE", "alertname": rule.alert})
+    out = alert_state(engine.query_range(rule.expr, start, now, interval), interval, labels)
+    if cache is not None:
+        cache[key] = out
+    return out
 
 
 def find_rule(groups: Mapping[str, tuple[int, list[AlertingRule]]], name: str, matchers) -> tuple[AlertingRule, int] | None:
@@ -80,5 +104,3 @@ def to_send(alerts: DataFrame) -> DataFrame:
     """Alerts that are past pending."""
     return alerts.where("state <> 'pending'")
 
-
-__all__ = ["AlertingRule", "RecordingRule", "activations", "alert_state", "backfill", "find_rule", "lit_map", "to_send"]

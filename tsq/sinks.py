@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsq.model import NAME, drop_labels, drop_name, format_column, format_value, label, match
+from tsq.operators.histogram import HISTOGRAM
 from tsq.promql.parser import parse_selector
 
 log = logging.getLogger(__name__)
 
 
-def latest(samples: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
-    """The newest sample of every series, unless it is a stale mark."""
+def latest(samples: DataFrame, low: int | None = None, high: int | None = None, ttl: int | None = None) -> DataFrame:
+    """The newest sample of every series, unless it is a stale mark; with ``ttl`` it is forgotten that long before ``high``."""
     df = samples
+    if ttl is not None:
+        if high is None:
+            raise ValueError("a time to live counts back from the end of the range")
+        low = high - ttl if low is None else max(low, high - ttl)
     if low is not None:
         df = df.where(F.col("t") >= low)
     if high is not None:
@@ -68,47 +73,76 @@ def exposition_text(df: DataFrame) -> str:
     return "".join(x + "\n" for x in out)
 
 
-def to_json(df: DataFrame, kind: str, warnings=()) -> str:
-    """The JSON envelope of a result; ``kind`` is vector, matrix or scalar."""
-    rows = df.collect()
-    pair = lambda r: [r["t"] / 1000, format_value(r["v"])]
+def json_pieces(df: DataFrame, kind: str, warnings=()) -> Iterator[str]:
+    """The JSON envelope of a result, piece by piece; ``kind`` is vector, matrix or scalar.
+
+    Rows are put together by series on the executors and pass the driver one partition at a time. ``h``, if there, holds
+    native histograms.
+    """
+    own = df if "h" in df.columns else df.withColumn("h", F.lit(None).cast(HISTOGRAM))
+    yield f'{{"status": "success", "data": {{"resultType": "{kind}", "result": '
     if kind == "scalar":
-        result: object = pair(rows[0])
-    elif kind == "vector":
-        result = [{"metric": dict(r["labels"]), "value": pair(r)} for r in rows]
+        yield json.dumps(_pair(own.first()))
     else:
-        by: dict = {}
-        for r in sorted(rows, key=lambda r: r["t"]):
-            by.setdefault(tuple(sorted(r["labels"].items())), []).append(pair(r))
-        result = [{"metric": dict(k), "values": v} for k, v in sorted(by.items())]
-    out = {"status": "success", "data": {"resultType": kind, "result": result}}
-    return json.dumps(out | ({"warnings": list(warnings)} if warnings else {}))
+        rows = own.select(F.sort_array(F.map_entries("labels")).alias("key"), F.struct("t", "v", "h").alias("x"))
+        if kind == "matrix":
+            rows = rows.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("x"))
+        yield "["
+        for k, r in enumerate(rows.orderBy("key").toLocalIterator()):
+            out: dict = {"metric": {e["key"]: e["value"] for e in r["key"]}}
+            every = r["x"] if kind == "matrix" else [r["x"]]
+            for name, found in (("value", [_pair(x) for x in every if x["h"] is None]), ("histogram", [[x["t"] / 1000, _histogram(x["h"])] for x in every if x["h"] is not None])):
+                if found:
+                    out |= {f"{name}s": found} if kind == "matrix" else {name: found[0]}
+            yield ", " * bool(k) + json.dumps(out)
+        yield "]"
+    yield "}" + (f', "warnings": {json.dumps(list(warnings))}' if warnings else "") + "}"
+
+
+def _pair(r) -> list:
+    return [r["t"] / 1000, format_value(r["v"])]
+
+
+def _histogram(h) -> dict:
+    """Buckets are open below, those below zero open above, and one around zero closed."""
+    edge = lambda b: 3 if b["lower"] < 0 < b["upper"] else 1 if b["lower"] < 0 else 0
+    buckets = [[edge(b), *(format_value(b[c]) for c in ("lower", "upper", "n"))] for b in h["buckets"]]
+    return {"count": format_value(h["count"]), "sum": format_value(h["sum"]), "buckets": buckets}
+
+
+def to_json(df: DataFrame, kind: str, warnings=()) -> str:
+    """The whole envelope, for results that fit the driver."""
+    return "".join(json_pieces(df, kind, warnings))
 
 
 def from_json(spark: SparkSession, body: str) -> tuple[DataFrame, set[str]]:
-    """``(labels, t, v)`` and the warnings of an envelope; an error envelope raises."""
+    """``(labels, t, v, h)`` and the warnings of an envelope; an error envelope raises, a text gives a series named by it."""
     data = json.loads(body)
     if data.get("status") != "success":
         raise ValueError(f"{data.get('errorType', 'error')}: {data.get('error', '')}")
     kind, result = data["data"]["resultType"], data["data"]["result"]
     if kind == "scalar":
-        found = [({}, [result])]
+        found = [({}, [result], [])]
+    elif kind == "string":
+        found = [({"__text__": result[1]}, [[result[0], "NaN"]], [])]
     elif kind == "vector":
-        found = [(r["metric"], [r["value"]]) for r in result if "value" in r]
+        found = [(r["metric"], [r[x] for x in ("value",) if x in r], [r[x] for x in ("histogram",) if x in r]) for r in result]
     elif kind == "matrix":
-        found = [(r["metric"], r.get("values", [])) for r in result]
-    elif kind == "string":
-        found = []
+        found = [(r["metric"], r.get("values", []), r.get("histograms", [])) for r in result]
     else:
         raise ValueError(f"unknown result type {kind}")
-    rows = [(m, int(t * 1000), float(v)) for m, pairs in found for t, v in pairs]
-    return spark.createDataFrame(rows, "labels map<string,string>, t bigint, v double"), {*data.get("warnings", ()), *data.get("infos", ())}
+    rows = [(m, round(float(t) * 1000), float(v), None) for m, pairs, _ in found for t, v in pairs]
+    for m, _, pairs in found:
+        for t, h in pairs:
+            buckets = [tuple(map(float, b[1:])) for b in h.get("buckets", ())]
+            rows.append((m, round(float(t) * 1000), None, (float(h["count"]), float(h["sum"]), buckets)))
+    return spark.createDataFrame(rows, f"labels map<string,string>, t bigint, v double, h {HISTOGRAM}"), {*data.get("warnings", ()), *data.get("infos", ())}
 
 
 def write_samples(df: DataFrame, path: str) -> None:
-    """Appends samples to a table, a directory a day."""
+    """Appends samples to a table, a directory by metric and day, so readers of few names or days skip the others."""
     day = F.to_date(F.timestamp_millis("t"))
-    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    df.withColumns({"metric": label(NAME), "day": day}).write.mode("append").partitionBy("metric", "day").parquet(path)
 
 
 class NullSink:
@@ -122,5 +156,3 @@ class NullSink:
             log.warning("no sample table is configured; rule results are dropped")
             self.warned = True
 
-
-__all__ = ["NullSink", "exposition", "exposition_text", "federate", "from_json", "latest", "to_json", "write_samples"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from tsq.model import NAME, match
 
 
+#: Times beyond this many ms from 1970 are unbounded: about the years 0 and 5100.
+FAR = 10**14 - 10**12
+
+
 def millis(column: str) -> Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
 
@@ -25,11 +30,21 @@ def scan_of(samples: DataFrame) -> Callable:
     """A scan over one sample frame; Catalyst pushes what it can into the table below."""
 
     def scan(matchers, low: int, high: int) -> DataFrame:
-        return samples.where((F.col("t") > low) & (F.col("t") <= high) & match(matchers)).select("labels", "t", "v", "stale")
+        more = ["h"] if "h" in samples.columns else []
+        return samples.where((F.col("t") > low) & (F.col("t") <= high) & match(matchers)).select("labels", "t", "v", "stale", *more)
 
     return scan
 
 
+def pushable(c: Column, m) -> Column | None:
+    """A matcher as a predicate that file readers take: equality, or a pattern that only lists plain values."""
+    plain = [m.value] if m.op in ("=", "!=") else m.value.split("|")
+    if not all(re.fullmatch(r"[\w ,;:@/-]+", x, re.A) for x in plain):
+        return None
+    hit = c == plain[0] if len(plain) == 1 else c.isin(plain)
+    return hit if m.op in ("=", "=~") else c.isNull() | ~hit
+
+
 class Catalog:
     """Metrics by name, each a fixed-column table; a scan touches only the tables whose name can match.
 
@@ -47,8 +62,6 @@ class Catalog:
         return self
 
     def scan(self, matchers, low: int, high: int) -> DataFrame:
-        import re
-
         def fits(name: str) -> bool:
             for m in matchers:
                 if m.name == NAME:
@@ -62,12 +75,12 @@ class Catalog:
             if not fits(name):
                 continue
             kind = df.schema[time].dataType.simpleString()
-            edge = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)  # noqa: E731, B023
+            edge = lambda ms: F.timestamp_millis(F.lit(max(-FAR, min(FAR, ms)))).cast(kind)  # noqa: E731, B023
             part = df.where((F.col(time) > edge(low)) & (F.col(time) < edge(high + 1)))
             for m in matchers:
                 c = labels.get(m.name)
-                if isinstance(c, str) and m.op == "=" and m.value and df.schema[c].dataType.simpleString() == "string":
-                    part = part.where(F.col(c) == m.value)
+                if isinstance(c, str) and df.schema[c].dataType.simpleString() == "string":
+                    part = part if (cond := pushable(F.col(c), m)) is None else part.where(cond)
             part = adapt(part, name, labels, millis(time), value).where((F.col("t") > low) & (F.col("t") <= high) & match([m for m in matchers if m.name != NAME]))
             if total:
                 part = part.groupBy("labels", "t").agg(F.sum("v").alias("v"), F.lit(False).alias("stale"))

@@ -20,8 +20,12 @@ ALGEBRAIC = {
 
 
 def sliding(stream: DataFrame, function: str, range_: str, step: str, late: str, keys: list[str]) -> DataFrame:
-    """A window function of ``(ts timestamp, v, keys...)`` at every step, rows up to ``late`` behind still counting."""
-    spread = stream.withWatermark("ts", late).groupBy(F.window("ts", range_, step), *keys)
+    """A window function of ``(ts timestamp, v, keys...)`` at every step, rows up to ``late`` behind still counting.
+
+    A series has one sample at a time: repeats of it inside the watermark are dropped.
+    """
+    once = stream.withWatermark("ts", late).dropDuplicates([*keys, "ts"])
+    spread = once.groupBy(F.window("ts", range_, step), *keys)
     return spread.agg(ALGEBRAIC[function]().alias("v")).select(F.col("window.end").alias("t"), *keys, "v")
 
 
@@ -48,6 +52,40 @@ def latest_with_ttl(stream: DataFrame, key: str, ttl: str, late: str = "0 second
     return rows.groupBy(key).applyInPandasWithState(keep, f"{key} string, t bigint, v double", "t bigint, v double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def alert_states(stream: DataFrame, key: str, for_: str, step: str, late: str = "0 seconds") -> DataFrame:
+    """``(key, t, active_at, state)`` in ms for a stream ``(key, ts timestamp)`` of the steps at which an alert's rule held.
+
+    An alert is pending until its rule has held for ``for_`` without a gap of more than a step, then firing. State is the run's
+    start and last step; it goes when the watermark has passed the next step without a sample.
+    """
+    for_ms, step_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (for_, step))
+
+    def follow(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        active, last = state.get if state.exists else (None, None)
+        out = []
+        times = sorted({int(t) for b in batches for t in b["ts"].astype("datetime64[ms]").astype("int64")})
+        for t in times:
+            if last is not None and t <= last:
+                continue  # a step that was counted before
+            if last is None or t - last > step_ms:
+                active = t
+            last = t
+            out.append((name[0], t, active, "firing" if t - active >= for_ms else "pending"))
+        if last is None:
+            return
+        state.update((active, last))
+        state.setTimeoutTimestamp(max(last + step_ms + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "t", "active_at", "state"])
+
+    rows = stream.withWatermark("ts", late).select(key, "ts")
+    schema = f"{key} string, t bigint, active_at bigint, state string"
+    return rows.groupBy(key).applyInPandasWithState(follow, schema, "active bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def evaluate_rules(stream: DataFrame, rules, engine_of, sink, step_ms: int, checkpoint: str, lag_ms: int = 0):
     """Runs rules for the steps that each micro-batch completes: ``engine_of(batch)`` gives the engine over the data."""
 
