@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tsq import catalog, rules, sinks
 from tsq.model import NAME, label
 from tsq.operators.histogram import histogram_fraction, histogram_stats
-from tsq.operators.merge import merge_pair, merge_replicas, union_shards
+from tsq.operators.merge import merge_pair, merge_replicas, merge_vectors, union_shards
 from tsq.plans.engine import Engine
 from tsq.promql.ast import Matcher
 from tsq.queries import DAY, END, ORACLES, QUERIES, START, WITH, engine, project
-from tsq.sources.source import Federation, Group, LabelFilter, Relabel, Source, TimeBounds, step_align
-from tsq.sources.tables import adapt, driver_catalog, millis, scan_of
+from tsq.sources.registry import HistogramNames, SourceRegistry
+from tsq.sources.source import EngineSource, Federation, Group, LabelFilter, Relabel, Source, TimeBounds, step_align
+from tsq.sources.tables import Catalog, adapt, millis, scan_of
 
 BUFFER = 300_000
 
@@ -30,6 +31,11 @@ def _shards(df: DataFrame) -> DataFrame:
     return _samples(df, event_type=F.col("event_type"), shard=F.col("user_id") % 10)
 
 
+def _table(df: DataFrame, **labels):
+    """A scan of the events that hands time bounds and matchers to the table's reader."""
+    return Catalog(df.sparkSession).add("event_value", df, labels or {"event_type": "event_type"}, "ts", "value").scan
+
+
 def _replicas(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     e = _events(spark, sf_dir)
     return [_samples(e.where(F.col("event_id") % 7 != 0)), _samples(e.where(F.col("event_id") % 5 != 0))]
@@ -94,8 +100,8 @@ def shard_union(spark, sf_dir):
 
 def _zones(spark, sf_dir) -> Engine:
     e = _events(spark, sf_dir)
-    groups = [Group([Source(_samples(e.where(f"user_id % 2 = {k}")), labels={"az": z})]) for k, z in enumerate("ab")]
-    return Engine(spark, Federation(groups).scan, lookback=DAY, default_step=DAY)
+    groups = [Group([Source(_table(e.where(f"user_id % 2 = {k}")), labels={"az": z})]) for k, z in enumerate("ab")]
+    return Federation(groups).engine(lookback=DAY, default_step=DAY)
 
 
 _ZONES = "e2 AS (SELECT event_type, CASE user_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS az, epoch_us(ts) // 1000 AS ts, value AS v FROM events)"
@@ -120,48 +126,48 @@ _ROWS = "SELECT {} epoch_us(ts) // 1000 AS t, round(value, 6) + 0.0 AS v FROM ev
 
 @register("relabel_replace", _ROWS.format("event_type, event_type AS kind,"))
 def relabel_replace(spark, sf_dir):
-    return _plain(_scanned(Source(_samples(_events(spark, sf_dir)), relabel=(Relabel("replace", "event_type", "kind"),))), "event_type", "kind")
+    return _plain(_scanned(Source(_table(_events(spark, sf_dir)), relabel=(Relabel("replace", "event_type", "kind"),))), "event_type", "kind")
 
 
 @register("relabel_case", _ROWS.format("upper(event_type) AS event_type,") + " AND event_type = 'click'")
 def relabel_case(spark, sf_dir):
-    source = Source(_samples(_events(spark, sf_dir)), relabel=(Relabel("uppercase", "event_type", "event_type"),))
+    source = Source(_table(_events(spark, sf_dir)), relabel=(Relabel("uppercase", "event_type", "event_type"),))
     return _plain(_scanned(source, Matcher("event_type", "=", "CLICK")))
 
 
 @register("relabel_drop_dedup", f"SELECT epoch_us(ts) // 1000 AS t, round(max(value), 6) + 0.0 AS v FROM events WHERE epoch_us(ts) // 1000 <= {END} GROUP BY 1")
 def relabel_drop_dedup(spark, sf_dir):
-    dropped = _scanned(Source(_samples(_events(spark, sf_dir)), relabel=(Relabel("labeldrop", "event_t.*"),)))
-    return dropped.groupBy("labels", "t").agg(F.max("v").alias("v")).select("t", (F.round("v", 6) + 0.0).alias("v"))
+    dropped = _scanned(Source(_table(_events(spark, sf_dir)), relabel=(Relabel("labeldrop", "event_t.*"),)))
+    return dropped.select("t", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @register("inject_matchers", _ROWS.format("event_type,") + " AND event_type <> 'click'")
 def inject(spark, sf_dir):
-    return _plain(_scanned(Source(_samples(_events(spark, sf_dir)), inject=(Matcher("event_type", "!=", "click"),))))
+    return _plain(_scanned(Source(_table(_events(spark, sf_dir)), inject=(Matcher("event_type", "!=", "click"),))))
 
 
 @register("time_filter_absolute", _ROWS.format("event_type,").replace(f"<= {END}", f"BETWEEN {START + DAY} AND {START + 2 * DAY}"))
 def time_filter_absolute(spark, sf_dir):
-    return _plain(_scanned(Source(_samples(_events(spark, sf_dir)), bounds=(TimeBounds(START + DAY, START + 2 * DAY, truncate=True),))))
+    return _plain(_scanned(Source(_table(_events(spark, sf_dir)), bounds=(TimeBounds(START + DAY, START + 2 * DAY, truncate=True),))))
 
 
 @register("time_filter_relative", _ROWS.format("event_type,").replace(f"<= {END}", f"BETWEEN {END - 3 * DAY} AND {END}"))
 def time_filter_relative(spark, sf_dir):
-    source = Source(_samples(_events(spark, sf_dir)), bounds=(TimeBounds(-3 * DAY, None, relative=True, truncate=True),))
+    source = Source(_table(_events(spark, sf_dir)), bounds=(TimeBounds(-3 * DAY, None, relative=True, truncate=True),))
     return _plain(source.scan((), 0, END, now=END))
 
 
 @register("label_filter_prune", _ROWS.format("event_type,") + " AND event_type = 'click'")
 def label_filter_prune(spark, sf_dir):
-    s = _samples(_events(spark, sf_dir))
-    known = [Source(s.where(label("event_type") == x), label_filter=LabelFilter({"event_type": frozenset([x])})) for x in ("click", "view")]
+    parts = [_table(_events(spark, sf_dir).where(F.col("event_type") == x)) for x in ("click", "view")]
+    known = [Source(p, label_filter=LabelFilter.collect(p((), 0, END), ["event_type"])) for p in parts]
     found = [d for k in known if (d := _scanned(k, Matcher("event_type", "=", "click"))) is not None]
     return _plain(union_shards(found))
 
 
 @register("step_align", _ROWS.format("event_type,").replace("AS t,", "+ 1800000 AS t,"))
 def step_aligned(spark, sf_dir):
-    return _plain(step_align(_scanned(Source(_samples(_events(spark, sf_dir)))), START + 1_800_000, 3_600_000))
+    return _plain(step_align(_scanned(Source(_table(_events(spark, sf_dir)))), START + 1_800_000, 3_600_000))
 
 
 @register("label_names", "SELECT unnest(['__name__', 'event_type', 'shard']) AS name")
@@ -187,12 +193,12 @@ def metadata(spark, sf_dir):
     return catalog.metadata([one, one.withColumn("type", F.lit("counter"))], "event_value")
 
 
-@register("exemplars", f"SELECT DISTINCT event_type, CAST(event_id AS VARCHAR) AS trace_id, epoch_us(ts) // 1000 AS t, round(value, 6) + 0.0 AS v FROM events WHERE event_id % 50 = 0 AND event_type = 'click' AND epoch_us(ts) // 1000 BETWEEN {START} AND {START + 9 * DAY}")
+@register("exemplars", f"SELECT DISTINCT event_type, CAST(event_id AS VARCHAR) AS trace_id, epoch_us(ts) // 1000 AS t, round(value, 6) + 0.0 AS v FROM events WHERE event_type = 'click' AND epoch_us(ts) // 1000 BETWEEN {START} AND {END}")
 def exemplars(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id % 50 = 0")
+    e = _events(spark, sf_dir)
     labels = F.create_map(F.lit(NAME), F.lit("event_value"), F.lit("event_type"), F.col("event_type"))
     table = e.select(labels.alias("labels"), F.create_map(F.lit("trace_id"), F.col("event_id").cast("string")).alias("ex_labels"), F.col("value").alias("v"), millis("ts").alias("t"))
-    found = catalog.exemplars([table, table], 'rate(event_value{event_type="click"}[5m]) + event_value{event_type="click"}', START, START + 9 * DAY)
+    found = catalog.exemplars([table, table], 'rate(event_value{event_type="click"}[5m]) + event_value{event_type="click"}', START, END)
     return found.select(label("event_type").alias("event_type"), label("trace_id", "ex_labels").alias("trace_id"), "t", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -206,7 +212,7 @@ def federate_latest(spark, sf_dir):
 
 @register("exporter_latest_ttl", _LATEST.format("") + f" HAVING max(epoch_us(ts) // 1000) >= {END - 5 * DAY}")
 def exporter_latest_ttl(spark, sf_dir):
-    return _plain(sinks.latest(_samples(_events(spark, sf_dir))).where(F.col("t") >= END - 5 * DAY))
+    return _plain(sinks.latest(_samples(_events(spark, sf_dir)), high=END, ttl=5 * DAY))
 
 
 @register("recording_rule", f"{WITH} SELECT 'type:event_value:sum' AS name, event_type, t, round(sum(v), 6) + 0.0 AS v FROM iv GROUP BY ALL")
@@ -270,4 +276,267 @@ def native_histogram_stats(spark, sf_dir):
     return h.select("event_type", s["count"].alias("count"), F.round(s["sum"], 4).alias("sum"), F.round(s["avg"], 6).alias("avg"), F.round(s["stdvar"], 4).alias("stdvar"), F.round(s["stddev"], 6).alias("stddev"), F.round(histogram_fraction(20.0, 75.0, "h"), 6).alias("fraction"))
 
 
-__all__ = ["driver_catalog"]
+
+# -- the eight calls under the wrappers ----------------------------------------------------------------------------------
+
+_STEP = 563_000
+
+
+@register("time_filter_truncate", f"""WITH g AS (SELECT {START} + i * {_STEP} AS t FROM range({-(-DAY // _STEP)}, {2 * DAY // _STEP + 1}) r(i)),
+e AS (SELECT event_type, epoch_us(ts) // 1000 AS ts, value AS v FROM events WHERE epoch_us(ts) // 1000 BETWEEN {START + DAY} AND {START + 2 * DAY})
+SELECT event_type, g.t, round(count(*), 6) + 0.0 AS v FROM e JOIN g ON ts > g.t - 3600000 AND ts <= g.t GROUP BY ALL""")
+def time_filter_truncate(spark, sf_dir):
+    """A start that the bounds move stays on the request's grid of 563 s."""
+    source = Source(_table(_events(spark, sf_dir)), bounds=(TimeBounds(START + DAY, START + 2 * DAY, truncate=True),))
+    return _plain(source.query_range("count_over_time(event_value[1h])", START, START + 3 * DAY, _STEP))
+
+
+@register("step_align_source", f"""WITH g AS (SELECT {START + DAY + 1_800_000} + i * 3600000 AS t FROM range(0, 24) r(i)), e AS (SELECT event_type, epoch_us(ts) // 1000 + 1800000 AS ts FROM events)
+SELECT event_type, g.t, round(count(*), 6) + 0.0 AS v FROM e JOIN g ON ts > g.t - 3600000 AND ts <= g.t GROUP BY ALL""")
+def step_align_source(spark, sf_dir):
+    """A store that snaps to whole hours, asked at half past."""
+    start = START + DAY + 1_800_000
+    return _plain(Source(_table(_events(spark, sf_dir)), align=True).query_range("count_over_time(event_value[1h])", start, start + 23 * 3_600_000, 3_600_000))
+
+
+@register("relabel_drop_prunes", f"SELECT epoch_us(ts) // 1000 AS t, event_type, round(value, 6) + 0.0 AS v FROM events WHERE epoch_us(ts) // 1000 <= {END}")
+def relabel_drop_prunes(spark, sf_dir):
+    """A label that is added and dropped again is empty to a matcher."""
+    source = Source(_table(_events(spark, sf_dir)), labels={"az": "a"}, relabel=(Relabel("labeldrop", "az.*"),))
+    assert _scanned(source, Matcher("az", "=", "a")) is None
+    return _plain(_scanned(source, Matcher("az", "=", "")))
+
+
+@register("source_label_values", f"SELECT DISTINCT CAST(user_id % 10 AS VARCHAR) AS value FROM events WHERE event_type = 'click' AND epoch_us(ts) // 1000 BETWEEN {START + DAY} AND {START + DAY + 7_200_000}")
+def source_label_values(spark, sf_dir):
+    """Under relabelling and bounds that both reach the table."""
+    table = _table(_events(spark, sf_dir), event_type="event_type", shard=F.col("user_id") % 10)
+    source = Source(table, relabel=(Relabel("replace", "shard", "bucket"),), bounds=(TimeBounds(START + DAY, None, truncate=True),))
+    return source.label_values("bucket", ['event_value{event_type="click"}'], START, START + DAY + 7_200_000)
+
+
+@register("federation_label_names", "SELECT DISTINCT event_type AS name FROM events WHERE user_id % 10 = 3 UNION SELECT DISTINCT unnest(['__name__', 'az']) FROM events")
+def federation_label_names(spark, sf_dir):
+    """Label names that are data: one per event type, in two groups."""
+    e = _events(spark, sf_dir)
+    table = lambda half: e.where(F.col("user_id") % 2 == half).select(
+        F.create_map(F.lit(NAME), F.lit("event_value"), F.col("event_type"), (F.col("user_id") % 10).cast("string")).alias("labels"), millis("ts").alias("t"), F.col("value").alias("v"), F.lit(False).alias("stale")
+    )
+    store = Federation([Group([Source(table(k), labels={"az": z})]) for k, z in enumerate("ab")])
+    kinds = [r["event_type"] for r in e.select("event_type").distinct().collect()]
+    return store.label_names([f'{{__name__="event_value", {k}="3"}}' for k in kinds])
+
+
+@register("federation_series", "SELECT DISTINCT CASE user_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS az, event_type FROM events WHERE user_id % 2 = 1 OR event_type = 'click'")
+def federation_series(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    store = Federation([Group([Source(_table(e.where(f"user_id % 2 = {k}")), labels={"az": z})]) for k, z in enumerate("ab")])
+    return store.series(['event_value{az="b"}', '{event_type="click"}']).select(label("az").alias("az"), label("event_type").alias("event_type"))
+
+
+@register("metadata_union", """WITH a AS (SELECT event_type AS metric, 'gauge' AS type, 'of ' || count(*) || ' high values' AS help FROM events WHERE value > 90 AND user_id % 10 < 3 GROUP BY 1),
+b AS (SELECT event_type AS metric, 'counter' AS type, 'of ' || count(*) || ' values' AS help FROM events GROUP BY 1)
+SELECT metric, type, help, '' AS unit FROM a UNION ALL SELECT metric, type, help, '' FROM b WHERE metric NOT IN (SELECT metric FROM a)""")
+def metadata_union(spark, sf_dir):
+    """The first source that knows a metric describes it; an empty name passes a filter on names."""
+    e = _events(spark, sf_dir)
+
+    def told(df, kind, text):
+        return df.groupBy(F.col("event_type").alias("metric")).agg(F.lit(kind).alias("type"), F.concat(F.lit("of "), F.count(F.lit(1)).cast("string"), F.lit(text)).alias("help"), F.lit("").alias("unit"))
+
+    first = told(e.where("value > 90 AND user_id % 10 < 3"), "gauge", " high values")
+    sources = [Source(_table(e), metadata_table=first, label_filter=LabelFilter({NAME: frozenset(["event_value"])})), Source(_table(e), metadata_table=told(e, "counter", " values"))]
+    return Federation([Group([x]) for x in sources]).metadata()
+
+
+@register("source_exemplars", f"SELECT CAST(event_id AS VARCHAR) AS trace_id, 'b' AS az, epoch_us(ts) // 1000 AS t, round(value, 6) + 0.0 AS v FROM events WHERE user_id % 2 = 1 AND event_type = 'view' AND epoch_us(ts) // 1000 BETWEEN {START} AND {START + 20 * DAY}")
+def source_exemplars(spark, sf_dir):
+    """A matcher on an added label reads one group only."""
+    e = _events(spark, sf_dir)
+    labels = F.create_map(F.lit(NAME), F.lit("event_value"), F.lit("event_type"), F.col("event_type"))
+    table = e.select("user_id", labels.alias("labels"), F.create_map(F.lit("trace_id"), F.col("event_id").cast("string")).alias("ex_labels"), F.col("value").alias("v"), millis("ts").alias("t"))
+    store = Federation([Group([Source(_table(e), labels={"az": z}, exemplar_table=table.where(F.col("user_id") % 2 == k).drop("user_id"))]) for k, z in enumerate("ab")])
+    found = store.exemplars('event_value{az="b", event_type="view"}', START, START + 20 * DAY)
+    return found.select(label("trace_id", "ex_labels").alias("trace_id"), label("az").alias("az"), "t", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _missing(*_):
+    raise FileNotFoundError("no such table")
+
+
+@register("quorum_of_replicas", f"{WITH} SELECT event_type, t, round(count(*), 6) + 0.0 AS v FROM (SELECT w.event_type, w.t FROM w) GROUP BY ALL")
+def quorum_of_replicas(spark, sf_dir):
+    """Of two replicas one cannot be opened; the other answers and the failure is a warning."""
+    group = Group([Source(_missing, "lost", spark=spark), Source(_table(_events(spark, sf_dir)), "kept")])
+    store = Federation([group])
+    out = _plain(store.query_range("count_over_time(event_value[1d])", START + DAY, END, DAY))
+    assert store.warnings == {"lost: no such table"}
+    return out
+
+
+@register("optional_group", f"{WITH} SELECT event_type, t, round(count(*), 6) + 0.0 AS v FROM w GROUP BY ALL")
+def optional_group(spark, sf_dir):
+    """A group of optional sources that fails leaves the others' answer whole."""
+    store = Federation([Group([Source(_missing, "extra", optional=True, spark=spark)]), Group([Source(_table(_events(spark, sf_dir)))])])
+    out = _plain(store.query_range("count_over_time(event_value[1d])", START + DAY, END, DAY))
+    assert store.warnings == set()
+    return out
+
+
+CONFIG = {
+    "server_groups": [
+        {
+            "name": zone, "labels": {"az": zone}, "anti_affinity": "5m", "ignore_error": False,
+            "static_configs": [{"targets": [f"events/{k}", f"spare/{k}"], "labels": {"tier": "Hot"}}],
+            "relabel_configs": [
+                {"action": "drop", "source_labels": ["__address__"], "regex": "spare/.*"},
+                {"action": "lowercase", "source_labels": ["tier"], "target_label": "tier"},
+                {"source_labels": ["__address__"], "regex": "events/(.*)", "target_label": "part", "replacement": "p$1"},
+            ],
+            "metrics_relabel_configs": [{"action": "uppercase", "source_label": "event_type", "target_label": "event_type"}],
+            "absolute_time_range": {"start": "2024-01-03T00:00:00Z", "truncate": True},
+            "inject_matchers": ['event_type!="view"'],
+            "label_filter": {"static_labels_include": {NAME: ["event_value"]}},
+        }
+        for k, zone in enumerate(("a", "b"))
+    ]
+}
+
+
+@register("configured_sources", f"""{WITH}, c AS (SELECT upper(event_type) AS event_type, user_id % 2 AS half, epoch_us(ts) // 1000 AS ts, value AS v FROM events WHERE event_type <> 'view' AND epoch_us(ts) // 1000 >= {START + 2 * DAY})
+SELECT event_type, CASE half WHEN 0 THEN 'a' ELSE 'b' END AS az, 'p' || half AS part, 'hot' AS tier, g.t, round(sum(v), 6) + 0.0 AS v FROM c JOIN g ON ts > g.t - {DAY} AND ts <= g.t GROUP BY ALL""")
+def configured_sources(spark, sf_dir):
+    """Two groups from a configuration: target relabelling, bounds, injected matchers and rewrites."""
+    registry = SourceRegistry(CONFIG, lambda address: _table(_events(spark, sf_dir).where(F.col("user_id") % 2 == int(address.split("/")[1]))))
+    out = registry.federation.query_range("sum_over_time(event_value[1d])", START + DAY, END, DAY)
+    return project(out, ("event_type", "az", "part", "tier"))
+
+
+@register("engine_as_source", f"{WITH} SELECT event_type, t, round(sum(v), 6) + 0.0 AS v FROM iv GROUP BY ALL")
+def engine_as_source(spark, sf_dir):
+    return _plain(EngineSource(engine(spark, sf_dir)).query_range("sum by (event_type) (event_value)", START + DAY, END, DAY))
+
+
+@register("layered_stores", f"{WITH}, {_ZONES} SELECT event_type, az, 'x' AS region, g.t, round(max(v), 6) + 0.0 AS v FROM e2 JOIN g ON ts > g.t - {DAY} AND ts <= g.t GROUP BY ALL")
+def layered_stores(spark, sf_dir):
+    """A federation as the table of a source in another one."""
+    e = _events(spark, sf_dir)
+    inner = Federation([Group([Source(_table(e.where(f"user_id % 2 = {k}")), labels={"az": z})]) for k, z in enumerate("ab")])
+    outer = Federation([Group([Source(inner.get_value, labels={"region": "x"}, spark=spark)])])
+    return project(outer.query_range("max_over_time(event_value[1d])", START + DAY, END, DAY), ("event_type", "az", "region"))
+
+
+# -- native histograms ---------------------------------------------------------------------------------------------------
+
+
+def _histograms(df: DataFrame, shift: int = 0) -> DataFrame:
+    """A histogram of the values by event type, half of the users and day, at the day's end; 0 to 50, 50 to 100 and so on."""
+    day = F.floor((millis("ts") - START) / DAY)
+    e = df.withColumn("day", day).withColumn("lower", F.floor(F.col("value") / 50) * 50.0).withColumn("half", (F.col("user_id") % 2).cast("string"))
+    b = e.groupBy("event_type", "half", "day", "lower").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("s"))
+    bucket = F.struct("lower", (F.col("lower") + 50).alias("upper"), "n")
+    h = b.groupBy("event_type", "half", "day").agg(F.struct(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.sort_array(F.collect_list(bucket)).alias("buckets")).alias("h"))
+    labels = F.create_map(F.lit(NAME), F.lit("event_sizes"), F.lit("event_type"), F.col("event_type"), F.lit("half"), F.col("half"))
+    return h.select(labels.alias("labels"), ((F.col("day") + 1) * DAY + START + shift).cast("long").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(False).alias("stale"), "h")
+
+
+_DAYS = f"""WITH b AS (SELECT event_type, (epoch_us(ts) // 1000 - {START}) // {DAY} AS day, floor(value / 50) * 50 AS lower, CAST(count(*) AS DOUBLE) AS n, sum(value) AS s FROM events
+      WHERE epoch_us(ts) // 1000 BETWEEN {START} AND {END - 1} GROUP BY 1, 2, 3),
+d AS (SELECT event_type, {START} + (day + 1) * {DAY} AS t, sum(n) AS count, sum(s) AS sum FROM b GROUP BY 1, 2),
+c AS (SELECT event_type, {START} + (day + 1) * {DAY} AS t, lower, n, sum(n) OVER (PARTITION BY event_type, day ORDER BY lower) AS upto FROM b)"""
+
+
+def _sized(spark, sf_dir, text: str) -> DataFrame:
+    e = Engine(spark, scan_of(_histograms(_events(spark, sf_dir))), lookback=DAY)
+    return project(e.query_range(text, START + DAY, END, DAY), ("event_type",))
+
+
+for _key, _text, _sql in (
+    ("histogram_count", "histogram_count(sum by (event_type) (event_sizes))", "SELECT event_type, t, round(count, 6) + 0.0 AS v FROM d"),
+    ("histogram_sum", "histogram_sum(sum by (event_type) (event_sizes))", "SELECT event_type, t, round(sum, 6) + 0.0 AS v FROM d"),
+    ("histogram_avg", "histogram_avg(sum by (event_type) (event_sizes))", "SELECT event_type, t, round(sum / count, 6) + 0.0 AS v FROM d"),
+    ("histogram_mean_of_series", "histogram_count(avg by (event_type) (event_sizes)) * 2", f"SELECT event_type, t, round(count * 2 / halves, 6) + 0.0 AS v FROM d JOIN (SELECT event_type, {START} + ((epoch_us(ts) // 1000 - {START}) // {DAY} + 1) * {DAY} AS t, count(DISTINCT user_id % 2) AS halves FROM events GROUP BY 1, 2) USING (event_type, t)"),
+    ("histogram_fraction", "histogram_fraction(0, 50, sum by (event_type) (event_sizes))", "SELECT event_type, d.t, round(coalesce(sum(n) FILTER (lower = 0), 0) / any_value(count), 6) + 0.0 AS v FROM d JOIN c USING (event_type, t) GROUP BY ALL"),
+    ("histogram_stdvar", "histogram_stdvar(sum by (event_type) (event_sizes))", "SELECT event_type, t, round(sum(n * (CASE WHEN lower > 0 THEN sqrt(lower * (lower + 50)) ELSE lower + 25 END - sum / count) ^ 2) / any_value(count), 6) + 0.0 AS v FROM d JOIN c USING (event_type, t) GROUP BY ALL"),
+    ("histogram_quantile_native", "histogram_quantile(0.4, sum by (event_type) (event_sizes))", """SELECT event_type, t, round(CASE WHEN lower > 0 THEN lower * ((lower + 50) / lower) ^ ((count * 0.4::DOUBLE - (upto - n)) / n) ELSE lower + 50 * (count * 0.4::DOUBLE - (upto - n)) / n END, 6) + 0.0 AS v
+     FROM (SELECT *, row_number() OVER (PARTITION BY event_type, t ORDER BY lower) AS k FROM c JOIN d USING (event_type, t) WHERE upto >= count * 0.4::DOUBLE) WHERE k = 1"""),
+):
+    QUERIES[_key] = lambda spark, sf_dir, text=_text: _sized(spark, sf_dir, text)
+    ORACLES[_key] = f"{_DAYS} {_sql}"
+
+
+@register("histogram_replicas", f"{_DAYS} SELECT event_type, t, round(count, 6) + 0.0 AS v FROM d")
+def histogram_replicas(spark, sf_dir):
+    """Histograms of two replicas merge as floats do: the second's lie inside the buffer of the first's."""
+    e = _events(spark, sf_dir)
+    store = Federation([Group([Source(_histograms(e)), Source(_histograms(e, 20_000))], buffer_ms=60_000)])
+    return _plain(store.query_range("histogram_count(sum by (event_type) (event_sizes))", START + DAY, END, DAY, lookback=DAY))
+
+
+@register("histogram_names", "SELECT unnest(['event_sizes', 'event_.*', 'event_value', 'other']) AS selector, unnest([true, true, false, false]) AS concern")
+def histogram_names(spark, sf_dir):
+    """Which selectors concern a histogram, by the types that metadata tells."""
+    e = _events(spark, sf_dir)
+    table = e.select(F.when(F.col("value") > 50, "event_sizes").otherwise("event_value").alias("metric")).distinct()
+    table = table.select("metric", F.when(F.col("metric") == "event_sizes", "histogram").otherwise("gauge").alias("type"))
+    names = HistogramNames(lambda: [table]).refresh()
+    asked = {"event_sizes": "event_sizes", "event_.*": '{__name__=~"event_.*"}', "event_value": "rate(event_value[5m])", "other": "other"}
+    return spark.createDataFrame([(k, names.concern(v)) for k, v in asked.items()], "selector string, concern boolean")
+
+
+# -- outputs, vectors, alert state ---------------------------------------------------------------------------------------
+
+
+@register("exposition", f"""WITH l AS ({_LATEST.format('')})
+SELECT 'event_value' AS metric, 'event_value{{event_type="' || event_type || '"}} ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END || ' ' || t AS line FROM l""")
+def exposition(spark, sf_dir):
+    newest = sinks.latest(_samples(_events(spark, sf_dir)))
+    return sinks.exposition(newest.withColumn("v", F.round("v", 6)))
+
+
+@register("json_vector", _LATEST.format(""))
+def json_vector(spark, sf_dir):
+    """A result through its JSON envelope and back."""
+    newest = sinks.latest(_samples(_events(spark, sf_dir)))
+    return _plain(sinks.from_json(spark, sinks.to_json(newest, "vector"))[0])
+
+
+@register("federate_external", _LATEST.format("").replace("SELECT event_type,", "SELECT event_type, 'x' AS region, '' AS instance, ") + " ORDER BY 1")
+def federate_external(spark, sf_dir):
+    df = sinks.federate(_samples(_events(spark, sf_dir)), ["event_value"], END + DAY, 60 * DAY, {"region": "x", "event_type": "never"})
+    return project(df, ("event_type", "region", "instance"))
+
+
+@register("merge_vectors", f"{WITH}, p AS (SELECT event_type, t, sum(v) FILTER (shard = '3') AS a, sum(v) FILTER (shard = '4') AS b FROM iv GROUP BY 1, 2) SELECT event_type, t, round(CASE WHEN coalesce(a, 0) <> 0 THEN a WHEN b IS NOT NULL THEN b ELSE a END, 6) + 0.0 AS v FROM p WHERE a IS NOT NULL OR b IS NOT NULL")
+def merge_vectors_query(spark, sf_dir):
+    """The first vector's values where they are not 0, else the second's."""
+    e = engine(spark, sf_dir)
+    return _plain(merge_vectors([e.query_range(f'sum by (event_type) (event_value{{shard="{k}"}})', START + DAY, END, DAY) for k in (3, 4)]))
+
+
+@register("alert_state", _ALERT.replace("SELECT event_type, t, round(v, 6) + 0.0 AS v, active_at, CASE", "SELECT event_type, 'ops' AS team, t, round(active_at / 1e3, 6) + 0.0 AS v FROM d WHERE event_type <> 'view' --") )
+def alert_state(spark, sf_dir):
+    """Activation times by step under a rule's labels."""
+    df = engine(spark, sf_dir).query_range("sum by (event_type) (event_value) > 500", START + DAY, END, DAY)
+    out = rules.alert_state(df, DAY, {"team": "ops"}, (Matcher("event_type", "!=", "view"),))
+    return project(out, ("event_type", "team"))
+
+
+@register("backfill", f"""{WITH}, a AS (SELECT event_type, t, sum(v) AS v FROM iv WHERE t BETWEEN {END - 6 * DAY} AND {END} GROUP BY ALL HAVING sum(v) > 500),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t) = {DAY} THEN NULL ELSE t END AS new FROM a)
+SELECT event_type, 'Busy' AS alertname, t, round(max(new) OVER (PARTITION BY event_type ORDER BY t) / 1e3, 6) + 0.0 AS v FROM b""")
+def backfill(spark, sf_dir):
+    rule = rules.AlertingRule("Busy", "sum by (event_type) (event_value) > 500", 5 * DAY)
+    stored = rules.alert_state(engine(spark, sf_dir).query("event_value", END), DAY, {"alertname": "Other"})
+    return project(rules.backfill(engine(spark, sf_dir), rule, DAY, END, stored), ("event_type", "alertname"))
+
+
+@register("info_labels", f"{WITH} SELECT event_type, shard, 'team-' || (CAST(shard AS INT) % 3) AS team, t, round(v, 6) + 0.0 AS v FROM iv")
+def info_labels(spark, sf_dir):
+    """Labels of info series by job and instance."""
+    e = _events(spark, sf_dir)
+    shard = (F.col("user_id") % 10).cast("string")
+    told = adapt(e, "target_info", {"job": "event_type", "instance": shard, "team": F.concat(F.lit("team-"), (F.col("user_id") % 10 % 3).cast("string"))}, millis("ts"), F.lit(1.0))
+    samples = adapt(e, "event_value", {"job": "event_type", "instance": shard}, millis("ts"), F.col("value")).unionByName(told)
+    out = Engine(spark, scan_of(samples), lookback=DAY).query_range("info(event_value)", START + DAY, END, DAY)
+    return out.select(label("job").alias("event_type"), label("instance").alias("shard"), label("team").alias("team"), "t", (F.round("v", 6) + 0.0).alias("v"))
