@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,12 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``. Where it is unset, a temporary one in a local session, whose
+    threads share this machine; a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if re.match(r"local(?:\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tsq-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
