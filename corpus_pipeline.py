@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined results: all stages but the last return the columns of their documents, whatever others those have; null, empty and
+very long texts, null and repeated ids and repeated rows pass as each operator's module says (a null or empty text is rejected
+by the quality rules, so later stages see it only in input of their own); an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
