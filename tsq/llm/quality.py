@@ -98,8 +98,17 @@ COUNTS = {
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds the counts and ``base_failed`` to rows with the text column ``_t``."""
-    return docs.withColumns({k: F.expr(v) for k, v in COUNTS.items()}).withColumn("base_failed", F.expr(" OR ".join(r.reject for r in BASE)))
+    """Adds all counts and ``base_failed`` to rows with the text column ``_t``; words and lines are split once for them."""
+    shared = {
+        "n_words": "CAST(size(_w) AS BIGINT)",
+        "word_chars": "CAST(length(array_join(_w, '')) AS BIGINT)",
+        "n_symbols": COUNTS["n_symbols"],
+        "n_lines": "CAST(size(_l) AS BIGINT)",
+        "n_dup_lines": "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT)",
+        "n_repeat_words": repeat_words_sql("_w"),
+    }
+    split = docs.withColumns({"_w": F.expr(_WORDS), "_l": F.expr(_LINES)})
+    return split.withColumns({k: F.expr(v) for k, v in shared.items()}).withColumn("base_failed", F.expr(" OR ".join(r.reject for r in BASE))).drop("_w", "_l")
 
 
 def _lazy(body: str) -> str:
