@@ -110,11 +110,13 @@ def chunk_table(own: DataFrame, mask_bits: int = MASK_BITS, max_chunk: int = MAX
 def repeated_spans(table: DataFrame) -> DataFrame:
     """Stretches of neighbouring repeated chunks of one kind: ``row, run, later, owned, start, bytes``.
 
-    ``run`` names the maximal run of repeated chunks, ``later`` whether an earlier occurrence owns the stretch.
+    ``run`` names the maximal run of repeated chunks, ``later`` whether an earlier occurrence owns the stretch. ``table`` is a
+    staged one; its files go once the repeated chunks are copied out of it.
     """
     # a count by half a digest finds every repeat, and the few strangers it lets through go at the full digest below
     often = table.where("size > 0").groupBy("lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lo")
     hits = stage_table(table.where("size > 0").join(often, "lo", "left_semi"), "chunk-hits")
+    drop_table(table)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tag", "row", "start")
     owners = hits.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
     owners = stage_table(owners, "owners")
@@ -158,6 +160,7 @@ def dedup_chunks(
         F.sum("size").cast("long").alias("n_bytes"),
         F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).cast("long").alias("n_chunks"),
     )
+    whole = stage_table(whole, "documents")
     long = F.least(F.lit(min_run).cast("long"), F.col("n_bytes"))
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("bytes")).alias("end"))
     spans = (
