@@ -2,7 +2,9 @@
 
 import pytest
 
+from tsq.plans.engine import Engine
 from tsq.sources.source import Relabel, Source
+from tsq.sources.tables import scan_of
 
 SCHEMA = "labels map<string,string>, t bigint, v double, stale boolean"
 
@@ -24,3 +26,14 @@ def test_replace_keeps_samples_of_one_series(spark, tied):
     assert got == [("click", 1, 3.0), ("click", 1, 5.0), ("click", 2, 4.0), ("click", 2, 4.0), ("click", 3, 1.0), ("view", 3, 2.0)]
     got = rows(Source(tied, relabel=(Relabel("replace", "__name__", "kind"),)).scan((), 0, 9), "kind")
     assert got == [("m", 1, 3.0), ("m", 1, 5.0), ("m", 2, 4.0), ("m", 2, 4.0), ("m", 3, 2.0)]
+
+
+@pytest.mark.parametrize("flip", (False, True))
+def test_resets_take_ties_by_value(spark, flip):
+    """Whatever order samples of one time arrive in, inside a pane and at its end."""
+    samples = [(1, 1.0), (2, 20.0), (2, 5.0), (3, 30.0), (10, 50.0), (10, 35.0), (11, 40.0)]
+    frame = spark.createDataFrame([({"__name__": "m"}, t, v, False) for t, v in (samples[::-1] if flip else samples)], SCHEMA).coalesce(1)
+    engine = Engine(spark, scan_of(frame))
+    for name, want in (("resets", [0.0, 1.0]), ("changes", [5.0, 6.0])):
+        got = engine.query_range(f"{name}(m[20ms])", 10, 20, 10).orderBy("t").collect()
+        assert [r["v"] for r in got] == want, name
