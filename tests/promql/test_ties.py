@@ -2,8 +2,9 @@
 
 import pytest
 
+from tsq.operators.merge import union_shards
 from tsq.plans.engine import Engine
-from tsq.sources.source import Relabel, Source
+from tsq.sources.source import Federation, Group, Relabel, Source
 from tsq.sources.tables import scan_of
 
 SCHEMA = "labels map<string,string>, t bigint, v double, stale boolean"
@@ -28,6 +29,14 @@ def test_replace_keeps_samples_of_one_series(spark, tied):
     assert got == [("m", 1, 3.0), ("m", 1, 5.0), ("m", 2, 4.0), ("m", 2, 4.0), ("m", 3, 2.0)]
 
 
+def test_shards_keep_every_sample(spark, tied):
+    """Shards that hold different samples of one series; groups of a federation may hold the same ones, which count once."""
+    one, two = tied.where("v <> 3.0"), tied.where("v = 3.0")
+    assert rows(union_shards([one, two]), "kind") == rows(union_shards([two, one]), "kind") == rows(tied, "kind")
+    store = Federation([Group([Source(tied.where("t = 3"))]), Group([Source(tied.where("t = 3"))])])
+    assert rows(store.get_value((), 0, 9), "kind") == [("click", 3, 1.0), ("view", 3, 2.0)]
+
+
 @pytest.mark.parametrize("flip", (False, True))
 def test_resets_take_ties_by_value(spark, flip):
     """Whatever order samples of one time arrive in, inside a pane and at its end."""

@@ -102,8 +102,8 @@ def merge_replicas(sides: list[DataFrame], buffer_ms: int = 10_000, **how) -> Da
 
 
 def union_shards(shards: list[DataFrame], value: str = "v") -> DataFrame:
-    """Shards that may hold the same series, folded with buffer 0: series under one label set merge, others add up."""
-    return merge_replicas(shards, 0, value=value)
+    """``(labels, t, value)`` of shards, each sample in one of them: all stay, those of one label set and time too."""
+    return reduce(DataFrame.unionByName, [d.select("labels", "t", value) for d in shards])
 
 
 def merge_vectors(sides: list[DataFrame], prefer_max: bool = False) -> DataFrame:
