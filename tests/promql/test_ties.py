@@ -4,6 +4,7 @@ import pytest
 
 from tsq.operators.merge import union_shards
 from tsq.plans.engine import Engine
+from tsq.promql.ast import Matcher
 from tsq.sources.source import Federation, Group, Relabel, Source
 from tsq.sources.tables import scan_of
 
@@ -29,6 +30,13 @@ def test_replace_keeps_samples_of_one_series(spark, tied):
     assert got == [("m", 1, 3.0), ("m", 1, 5.0), ("m", 2, 4.0), ("m", 2, 4.0), ("m", 3, 2.0)]
 
 
+def test_case_keeps_samples_of_one_series(spark, tied):
+    """Spellings that become one merge where they meet; samples of one spelling stay."""
+    more = spark.createDataFrame([({"__name__": "m", "kind": "Click"}, 3, 9.0, False), ({"__name__": "m", "kind": "Click"}, 4, 9.0, False)], SCHEMA)
+    got = rows(Source(tied.unionByName(more), relabel=(Relabel("uppercase", "kind"),)).scan((Matcher("kind", "=", "CLICK"),), 0, 9), "kind")
+    assert got == [("CLICK", 1, 3.0), ("CLICK", 1, 5.0), ("CLICK", 2, 4.0), ("CLICK", 2, 4.0), ("CLICK", 3, 9.0), ("CLICK", 4, 9.0)]
+
+
 def test_shards_keep_every_sample(spark, tied):
     """Shards that hold different samples of one series; groups of a federation may hold the same ones, which count once."""
     one, two = tied.where("v <> 3.0"), tied.where("v = 3.0")
