@@ -45,6 +45,14 @@ def test_shards_keep_every_sample(spark, tied):
     assert rows(store.get_value((), 0, 9), "kind") == [("click", 3, 1.0), ("view", 3, 2.0)]
 
 
+def test_dropped_added_label_keeps_samples(spark, tied):
+    """A label that is added and dropped again makes no series one; dropping the table's own does."""
+    source = Source(tied, labels={"az": "a"}, relabel=(Relabel("labeldrop", "az.*"),))
+    assert rows(source.scan((Matcher("az", "=", ""),), 0, 9), "kind") == rows(tied, "kind")
+    got = rows(Source(tied, relabel=(Relabel("labeldrop", "kind"),)).scan((), 0, 9), "kind")
+    assert got == [("", 1, 5.0), ("", 2, 4.0), ("", 3, 2.0)]
+
+
 @pytest.mark.parametrize("flip", (False, True))
 def test_resets_take_ties_by_value(spark, flip):
     """Whatever order samples of one time arrive in, inside a pane and at its end."""
