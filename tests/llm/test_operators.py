@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tsq.llm import chunks, classifier, decontam, lm, neardup, pii, suffix, tokens
-from tsq.llm.common import read_documents
+from tsq.llm.common import bitmap_of, read_documents, slots
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -598,3 +598,24 @@ def test_mask_and_pipeline(spark):
         by[r["source"]].append(r)
     for rows in by.values():
         assert sum(r["taken"] for r in rows) == int(rows[0]["target"] + 0.5) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+
+
+def test_bitmap_comes_in_few_jobs(spark):
+    """However many partitions the shuffle has; the driver keeps what it knows of each job."""
+    values = spark.range(0, 70_000, 1, 4).select(F.xxhash64("id").alias("tag"))
+    tags = np.array([r["tag"] for r in values.collect()]).view(np.uint64)
+    want = np.zeros(1 << 21, dtype=bool)
+    for slot in slots(tags, len(want)):
+        want[slot] = True
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("bitmap", "")
+        assert (bitmap_of(values, len(tags)) == np.packbits(want)).all()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert 0 < len(jobs) <= 10

@@ -62,6 +62,9 @@ def word_count(text: Column) -> Column:
 
 PAGE_BITS = 1 << 16
 MOST_BITS = 1 << 30
+#: At least so many tasks put the pages together, and more once each would have more pages than this, 4 MB.
+PAGE_TASKS = 8
+TASK_PAGES = 512
 
 
 def slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +84,8 @@ def bitmap_of(values: DataFrame, count: int) -> np.ndarray:
     """A packed bitmap of about 16 bits for each of ``count`` longs, 128 MB at most.
 
     It only sifts ahead of a join, so a full one costs time and changes no result. Its pages are put together on the
-    executors, each in one task, and come to the driver once.
+    executors, each in one task, and come to the driver once: a task's pages at a time, which takes a job, so their number
+    goes by the pages and not by the partitions of the shuffle.
     """
     bits = 1 << 20
     while bits < min(16 * count, MOST_BITS):
@@ -107,7 +111,7 @@ def bitmap_of(values: DataFrame, count: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(b).tobytes()], pa.binary())], names=["page", "b"])
 
     out = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), dtype=np.uint8)
-    placed = values.mapInArrow(place, "page int, bit int").repartition("page")
+    placed = values.mapInArrow(place, "page int, bit int").repartition("page").coalesce(max(PAGE_TASKS, len(out) // TASK_PAGES))
     for row in placed.mapInArrow(build, "page int, b binary").toLocalIterator():
         out[row["page"]] = np.frombuffer(row["b"], dtype=np.uint8)
     return out.ravel()

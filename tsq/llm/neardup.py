@@ -141,8 +141,8 @@ def signature_batches(batches, bands: int, rows: int, weighted: bool):
 
 
 def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, items)``: sorted distinct shingles of the texts ``(tag, node, t)`` in ``nodes``; a bitmap spares the others the
-    work."""
+    """``(node, items)``: sorted distinct shingles of the texts ``(tag, node, t)`` in ``nodes``, which is read three times; a
+    bitmap spares the others the work."""
     held = own.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select("tag"), nodes.count()))
 
     def run(batches):
@@ -325,7 +325,9 @@ def duplicate_classes(
     entries = texts.select(F.xxhash64("node").alias("tag"), "node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x <> y").select("key")
     hits = stage_table(entries.join(shared, "key", "left_semi"), "hits")
-    sets = stage_table(shingle_sets(own, hits.select("tag", "node").distinct()).dropDuplicates(["node"]), "sets")
+    nodes = stage_table(hits.select("tag", "node").distinct(), "nodes")
+    sets = stage_table(shingle_sets(own, nodes).dropDuplicates(["node"]), "sets")
+    drop_table(nodes)
 
     hubs = hits.groupBy("key").agg(F.min(F.struct("tag", "node")).alias("hub"))
     met = hits.join(hubs, "key").where("node <> hub.node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
